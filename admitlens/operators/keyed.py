@@ -74,8 +74,11 @@ def previous_in_order(
     """`lag(value)` over `keys` in the order (buckets, order), with the key split at bucket borders.
 
     The lag runs inside (key, bucket). Only the first row of a bucket needs another bucket's
-    last value, and there is one such value per bucket.
+    last value, and there is one such value per bucket. Without `order` columns (key, bucket) is unique,
+    so a key has one row per period and a plain window is enough.
     """
+    if not order:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*buckets)))
     key_cols = [*keys, *buckets]
     inside = Window.partitionBy(*key_cols).orderBy(*order)
     local = df.withColumn(name, F.lag(value).over(inside)).withColumn("_pos", F.row_number().over(inside))

@@ -227,7 +227,7 @@ def integration_counts(plans: DataFrame, details: DataFrame, integrated: DataFra
 
 def rows_per_school_year(integrated: DataFrame, years: list[str] | None = None) -> DataFrame:
     """Rows per school and year; with given years one column per year."""
-    known = integrated.filter((F.col("school_id") != "") & (F.col("year") != ""))
+    known = integrated.filter((F.col("school_id").cast("string") != "") & (F.col("year").cast("string") != ""))
     if years is None:
         return known.groupBy("school_id", "year").agg(F.count(F.lit(1)).alias("plan_rows"))
     return known.groupBy("school_id").pivot("year", years).agg(F.count(F.lit(1)))

@@ -72,6 +72,7 @@ def major_statistics(
     s = score.select(*keys, float_int(F.col("score_line")).cast("int").alias("score_line"))
     h = heat.select(*keys, to_float(F.col("heat_score")).alias("heat_score"))
     ids = major_ids.select(*identity, "university_id", "major_id")
+    plan = plan.select(*dict.fromkeys([*keys, *identity]), "plan_count", "plan_change_rate")
     joined = null_safe_join(null_safe_join(plan, s, list(keys), "left"), h, list(keys), "left")
     known = null_safe_join(joined, ids, list(identity), "inner").select(
         "year", "university_id", "major_id", float_int(F.col("plan_count")).cast("int").alias("plan_count"),

@@ -20,6 +20,7 @@ def local_session(app: str = "admitlens", cores: int | str = "*", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()
     )
