@@ -208,12 +208,12 @@ def rating_conflicts(v: Views) -> DataFrame:
 
 @query(
     "one_to_one", "V6",
-    """WITH pairs AS (SELECT DISTINCT p_name AS l, p_brand AS r FROM part WHERE p_size = 7)
+    """WITH pairs AS (SELECT DISTINCT p_name AS l, p_brand AS r FROM part)
     SELECT l AS value, count(*) AS partners, 'p_name' AS side FROM pairs GROUP BY 1 HAVING count(*) > 1
     UNION ALL SELECT r, count(*), 'p_brand' FROM pairs GROUP BY 1 HAVING count(*) > 1""",
 )
 def one_to_one(v: Views) -> DataFrame:
-    return quality.not_one_to_one(v.table("part").filter(F.col("p_size") == 7), "p_name", "p_brand")
+    return quality.not_one_to_one(v.table("part"), "p_name", "p_brand")
 
 
 CHECKS = f"""WITH {BRONZE}, checked AS (
