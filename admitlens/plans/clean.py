@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +16,7 @@ from admitlens.operators.keyed import best_row, consecutive_ids, first_wins, lat
 from admitlens.operators.quality import ISSUE_COLUMNS, collect_issues, conflicting_values, domain_check, issue, missing_checks
 from admitlens.rules import ADVICE, EXPECTED_YEARS, REQUIRED_FIELDS
 from admitlens.sources.readers import require_columns
+from admitlens.sources.stage import staged
 
 LINE = "_line_no"
 NUMBERS = [
@@ -206,9 +208,15 @@ def _as_table(df: DataFrame, table: str, names: dict[str, str]) -> DataFrame:
     return df.select(LINE, *cols)
 
 
-def clean(raw: DataFrame, batch: str, source_file: str, school_list: DataFrame | None = None) -> Cleaned:
-    """All cleaned tables (with `_line_no` for later steps) and the numbered issues."""
-    rows = prepare_rows(raw, batch, source_file)
+def clean(
+    raw: DataFrame, batch: str, source_file: str, school_list: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = staged,
+) -> Cleaned:
+    """All cleaned tables (with `_line_no` for later steps) and the numbered issues.
+
+    The prepared rows feed every output, so they are written once (`keep`).
+    """
+    rows = keep(prepare_rows(raw, batch, source_file))
     stages = [
         row_issues(rows),
         duplicate_issues(rows, PLAN_KEY, "enrollment_plans", "direction_key", direction_key(), ADVICE["duplicate_plan"]),

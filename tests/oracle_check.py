@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -40,7 +41,7 @@ def plain(v):
 def difference(df, con, sql: str) -> str | None:
     """None when equal, else a short description."""
     names = sorted(df.columns)
-    spark_rows = [tuple(plain(r[c]) for c in names) for r in df.collect()]
+    spark_rows = [tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in names]).collect()]
     cur = con.execute(sql)
     duck_names = [d[0] for d in cur.description]
     if sorted(duck_names) != names:
@@ -49,11 +50,10 @@ def difference(df, con, sql: str) -> str | None:
     duck_rows = [tuple(plain(r[i]) for i in at) for r in cur.fetchall()]
     if len(spark_rows) != len(duck_rows):
         return f"{len(spark_rows)} rows vs {len(duck_rows)}"
-    a, b = sorted(spark_rows, key=repr), sorted(duck_rows, key=repr)
+    a, b = Counter(spark_rows), Counter(duck_rows)
     if a != b:
-        only_a, only_b = set(a) - set(b), set(b) - set(a)
-        x, y = sorted(only_a, key=repr)[:2], sorted(only_b, key=repr)[:2]
-        return f"{len(only_a)} rows differ, e.g.\n   columns {names}\n   spark {x}\n   sql   {y}"
+        x, y = list((a - b).elements()), list((b - a).elements())
+        return f"{len(x)} rows differ, e.g.\n   columns {names}\n   spark {sorted(x, key=repr)[:2]}\n   sql   {sorted(y, key=repr)[:2]}"
     return None
 
 
