@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,7 +34,7 @@ def strip_or_null(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """Every run of white space becomes one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(c, rf"{_SPACE}+", " "))
+    return F.trim(squeezed(c))
 
 
 def clean_text(c: Column) -> Column:
@@ -134,12 +135,20 @@ def batch_time(batch: Column) -> Column:
     return F.try_to_timestamp(shaped, F.lit("yyyyMMdd_HHmmss"))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(c)` with `c` evaluated once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def text_chunks(c: Column, size: int = 520, overlap: int = 80) -> Column:
     """Overlapping pieces of the whole text; one piece when it is short enough."""
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0)), F.lit(step))
-    many = F.transform(starts, lambda s: F.substring(c, s + 1, F.lit(size)))
-    return F.when(F.length(c) <= size, F.array(c)).otherwise(many)
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size - overlap))
+        many = F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size)))
+        return F.when(F.length(t) <= size, F.array(t)).otherwise(many)
+
+    return bound(c, cut)
 
 
 def occurrences(text: Column, keyword: Column) -> Column:
@@ -153,20 +162,32 @@ def keyword_hits(text: Column, keywords: Column) -> Column:
     return F.aggregate(keywords, F.lit(0), lambda acc, k: acc + occurrences(text, k))
 
 
-def best_chunk(text: Column, keywords: Column, size: int = 520, overlap: int = 80) -> Column:
-    """Struct(score, chunk) of the first chunk with the most hits; NULL when nothing hits."""
-    chunks = text_chunks(F.regexp_replace(text, rf"{_SPACE}+", " "), size, overlap)
+def top_chunk(chunks: Column, keywords: Column) -> Column:
+    """Struct(score, back, chunk) of the first chunk with the most hits, also when nothing hits."""
     scored = F.transform(
         chunks, lambda ch, i: F.struct(keyword_hits(ch, keywords).alias("score"), (-i).alias("back"), ch.alias("chunk"))
     )
-    top = F.array_max(scored)
-    return F.when(top["score"] > 0, F.struct(top["score"].alias("score"), top["chunk"].alias("chunk")))
+    return F.array_max(scored)
+
+
+def best_chunk(text: Column, keywords: Column, size: int = 520, overlap: int = 80) -> Column:
+    """Struct(score, chunk) of the first chunk with the most hits; NULL when nothing hits."""
+    top = top_chunk(text_chunks(squeezed(text), size, overlap), keywords)
+    return bound(top, lambda t: F.when(t["score"] > 0, F.struct(t["score"].alias("score"), t["chunk"].alias("chunk"))))
+
+
+def squeezed(c: Column) -> Column:
+    """Every run of white space becomes one blank; the ends stay."""
+    return F.regexp_replace(c, rf"{_SPACE}+", " ")
 
 
 def snippet(c: Column, limit: int = 220) -> Column:
     """White space collapsed; longer text is cut and ends with an ellipsis."""
-    text = F.coalesce(collapse_space(c), F.lit(""))
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
+
+    def cut(t: Column) -> Column:
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 1), F.lit("…")))
+
+    return bound(F.coalesce(collapse_space(c), F.lit("")), cut)
 
 
 def file_matches(file_name: Column, school: Column, major: Column, year: Column) -> Column:

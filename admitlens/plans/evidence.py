@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitlens.functions.scoring import evidence_bonus, evidence_summary, source_confidence
-from admitlens.functions.text import best_chunk, missing_to_null, snippet, strip
+from admitlens.functions.text import missing_to_null, snippet, squeezed, strip, text_chunks, top_chunk
 from admitlens.operators.joins import substring_matches
 from admitlens.operators.keyed import first_wins, top_n
 from admitlens.rules import EVIDENCE_TYPES, EVIDENCE_WORDS
@@ -80,9 +80,12 @@ def best_passages(
 
     searches: distinct SEARCH rows. pool: document ids per (university, target year). Whole texts are read.
     """
+    pieces = texts.select(F.col("id").alias("_id"), "document_title", "source_url", text_chunks(squeezed(F.col("text"))).alias("_chunks"))
     pairs = searches.join(pool, ["university_id", "target_year"])
-    read = pairs.join(texts.select(F.col("id").alias("_id"), "document_title", "source_url", "text"), F.col("doc_id") == F.col("_id"))
-    scored = read.withColumn("_best", best_chunk(F.col("text"), F.col("keywords"))).filter(F.col("_best").isNotNull()).drop("text")
+    read = pairs.join(pieces, F.col("doc_id") == F.col("_id"))
+    # The generator keeps the scoring from being repeated in the filter.
+    top = F.explode(F.array(top_chunk(F.col("_chunks"), F.col("keywords"))))
+    scored = read.select(*SEARCH, "doc_id", "_source", "_order", "document_title", "source_url", top.alias("_best")).filter(F.col("_best.score") > 0)
     order = [F.col("_best.score").desc(), F.col("_source"), F.col("_order").desc(), F.col("doc_id").desc()]
     top = top_n(scored, SEARCH, order, max(1, top_k), rank="_pos")
     hit = F.struct(

@@ -64,6 +64,7 @@ def expand_directions(plans: DataFrame, details: DataFrame, line: str) -> DataFr
         .withColumn("_area_key", strip_or_null(F.col("a.research_area")))
         .withColumn("exam_subject_clean", clean_html(F.col("a.exam_subject")))
         .withColumn("_school_key", F.col("school_id"))
+        .withColumn("d", F.col("d").dropFields("research_area_data", "default_year"))
     )
 
 

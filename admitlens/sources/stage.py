@@ -7,6 +7,7 @@ after another one is lost.
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _own_folder(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"admitlens-{app_id}-")
+
+
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder; on a one-machine session without one, a new temporary folder."""
     folder = spark.conf.get(_SETTING, None)
@@ -21,9 +27,7 @@ def stage_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="admitlens-")
-    spark.conf.set(_SETTING, made)
-    return made
+    return _own_folder(spark.conf.get("spark.app.id", "app"))
 
 
 def staged(df: DataFrame) -> DataFrame:
