@@ -68,6 +68,13 @@ def test_cleaned_tables(cleaned):
     assert (rate.level_rate, rate.rate_sort) == ("A", 2) and t["admission_records"].count() == 0
 
 
+def test_export_order_is_numeric(spark):
+    rows = [(10, "10", "2024", "9", "b", None), (11, "9", "2024", "100", "a", None), (12, "9", "2024", "20", "a", None), (13, "x", "2024", "1", "a", None)]
+    df = spark.createDataFrame(rows, "_line_no long, school_id string, year string, plan_id string, research_direction string, exam_subjects string")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in schemas.CLEANED["enrollment_plans"] if c not in df.columns})
+    assert [r.plan_id for r in clean.in_file_order(df, "enrollment_plans").collect()] == ["20", "100", "9", "1"]
+
+
 def test_issues_in_emission_order(cleaned):
     issues = cleaned[0].issues.orderBy("issue_id").collect()
     assert [i.issue_id for i in issues] == list(range(1, len(issues) + 1))
