@@ -1,13 +1,12 @@
 """Intermediate results written once and read back, so that several outputs do not recompute them.
 
-They go to the shared folder the session names in `spark.checkpoint.dir`; any executor can read them again
-after another one is lost.
+They go to the shared folder the session names in `spark.checkpoint.dir`, or below the warehouse where that
+is unset; any executor can read them again after another one is lost. `release` removes a table that is no
+longer read; what is left goes when the application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
-@cache
-def _own_folder(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"admitlens-{app_id}-")
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder of this session."""
+    folder = spark.conf.get(_SETTING, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return folder.rstrip("/")
 
 
-def stage_folder(spark: SparkSession) -> str:
-    """The shared folder; on a one-machine session without one, a new temporary folder."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    return _own_folder(spark.conf.get("spark.app.id", "app"))
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet and return a scan of them."""
     spark = df.sparkSession
-    path = f"{stage_folder(spark)}/admitlens/{spark.conf.get('spark.app.id', 'app')}/{uuid4().hex}"
+    path = f"{stage_folder(spark)}/admitlens/{spark.sparkContext.applicationId}/{uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan.staged_path = path
+    return scan
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more (not the ones behind a frame still to be used)."""
+    for df in frames:
+        files, place = _file_system(df.sparkSession, df.staged_path)
+        files.delete(place, True)
