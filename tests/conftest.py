@@ -10,8 +10,5 @@ from admitlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session("tests", cores=4, shuffle_partitions=4)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
-    return session
+def spark():
+    return local_session("tests", cores=4, shuffle_partitions=4)
