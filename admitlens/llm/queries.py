@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import linedup, quality
+from admitlens.llm import chosenpath, linedup, mixing, packing, quality
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -45,3 +46,19 @@ FROM judged GROUP BY doc_id""")
 def line_dedup(docs: DataFrame) -> DataFrame:
     verdicts = linedup.line_verdicts(docs)
     return verdicts.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op10_ngram_jaccard_join")
+def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+    return chosenpath.links_of_documents(docs)
+
+
+@_query("op6_source_mixing")
+def source_mixing(docs: DataFrame) -> DataFrame:
+    taken = (F.col("size") * F.size("taken")).cast("long").alias("taken")
+    return mixing.draws(docs).select("doc_id", "size", "source_size", "target", taken, F.col("taken.shard").alias("shards"))
+
+
+@_query("op9_best_fit_packing")
+def best_fit_packing(docs: DataFrame) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
