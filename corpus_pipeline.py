@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from admitlens.llm.chosenpath import keep_first
 from admitlens.llm.linedup import line_dedup
+from admitlens.llm.mixing import mixed
+from admitlens.llm.packing import packed
 from admitlens.llm.quality import keep_good
 from admitlens.sources.stage import staged
 
@@ -19,9 +23,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup(docs)
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", dedup_lines),
+    ("ngram_jaccard", ngram_jaccard),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
 #: Signatures, hash orders and tokenizers are beyond SQL; tests compare with brute force instead.
