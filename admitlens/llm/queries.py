@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, linedup, mixing, packing, quality
+from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -59,6 +59,11 @@ def source_mixing(docs: DataFrame) -> DataFrame:
     return mixing.draws(docs).select("doc_id", "size", "source_size", "target", taken, F.col("taken.shard").alias("shards"))
 
 
+@_query("op8_embedding_pq", "embeddings")
+def embedding_pq(vectors: DataFrame) -> DataFrame:
+    return pqlinks.embedding_links(vectors)
+
+
 @_query("op9_best_fit_packing")
 def best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
