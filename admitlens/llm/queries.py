@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality
+from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality, sharding
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -53,6 +53,12 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     return chosenpath.links_of_documents(docs)
 
 
+@_query("op3_differencing_shards")
+def differencing_shards(docs: DataFrame) -> DataFrame:
+    shards = sharding.shards_of(docs)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query("op6_source_mixing")
 def source_mixing(docs: DataFrame) -> DataFrame:
     taken = (F.col("size") * F.size("taken")).cast("long").alias("taken")
