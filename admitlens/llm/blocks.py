@@ -26,21 +26,21 @@ def side_by_side(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys of sorted batches, each whole."""
+def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of equal keys of sorted batches, each whole, as arrays by column."""
     rest = None
     for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
         if not len(batch):
             continue
-        k = batch[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        columns = {c: batch[c].to_numpy() for c in batch}
+        if rest is not None:
+            columns = {c: np.concatenate([rest[c], columns[c]]) for c in columns}
+        k = np.stack([columns[c] for c in keys])
         at = 0
-        for cut in cuts:
-            yield batch.iloc[at:cut]
+        for cut in np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1:
+            yield {c: v[at:cut] for c, v in columns.items()}
             at = cut
-        rest = batch.iloc[at:]
+        rest = {c: v[at:] for c, v in columns.items()}
     if rest is not None:
         yield rest
 

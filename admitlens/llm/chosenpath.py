@@ -96,11 +96,8 @@ def _compared(p: ChosenPath):
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in units(batches, keys):
-            c, n = unit["c"].to_numpy(), unit["m"].to_numpy().astype(float)
-            sig = np.stack(unit["sig"].to_numpy())
-            same = np.zeros((len(c), len(c)), np.int16)
-            for k in range(sig.shape[1]):
-                same += sig[:, k, None] == sig[None, :, k]
+            c, n, sig = unit["c"], unit["m"].astype(float), np.stack(unit["sig"])
+            same = np.concatenate([(part[:, None, :] == sig[None, :, :]).sum(axis=2) for part in np.array_split(sig, -(-len(c) // 16))])
             linked = (same >= least) & (np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n))
             np.fill_diagonal(linked, False)
             root = roots(linked)
@@ -117,17 +114,16 @@ def _verified(threshold: float):
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in units(batches, keys):
-            c, first = np.unique(unit["c"].to_numpy(), return_index=True)
-            unit = unit.iloc[first]
+            c, first = np.unique(unit["c"], return_index=True)
+            unit = {k: v[first] for k, v in unit.items()}
             sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"]]
             sizes = np.array([len(s) for s in sets], float)
             shared = _intersections(sets)
             linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
             np.fill_diagonal(linked, False)
-            b = unit["b"].to_numpy()
-            if unit["i"].iat[0] != unit["j"].iat[0]:  # pairs within a block are another unit's
-                linked &= b[:, None] != b[None, :]
-            links = linked @ unit["copies"].to_numpy()
+            if unit["i"][0] != unit["j"][0]:  # pairs within a block are another unit's
+                linked &= unit["b"][:, None] != unit["b"][None, :]
+            links = linked @ unit["copies"]
             root = roots(linked)
             at = np.flatnonzero(links > 0)
             if len(at):

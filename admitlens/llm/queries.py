@@ -8,17 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality, sharding
+from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality, sharding, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
 
 
-def _query(name: str, table: str = "documents", sql: str | None = None) -> Callable:
-    """Register a function of one table."""
+def _query(name: str, tables: str = "documents", sql: str | None = None) -> Callable:
+    """Register a function of one or more tables."""
 
-    def wrap(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        LLM_QUERIES[name] = lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    def wrap(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        LLM_QUERIES[name] = lambda spark, sf_dir: make(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()])
         if sql is not None:
             LLM_ORACLE[name] = sql
         return make
@@ -59,6 +59,11 @@ def differencing_shards(docs: DataFrame) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query("op4_toxicity", "documents labels")
+def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.toxicity_scores(docs, labels)
+
+
 @_query("op6_source_mixing")
 def source_mixing(docs: DataFrame) -> DataFrame:
     taken = (F.col("size") * F.size("taken")).cast("long").alias("taken")

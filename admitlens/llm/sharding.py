@@ -72,11 +72,12 @@ def _leaf(shards: int):
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in units(batches, ["bucket"]):
-            sums = np.zeros((len(unit), shards), np.int64)
+            n = len(unit["bytes"])
+            sums = np.zeros((n, shards), np.int64)
             sums[:, 0] = unit["bytes"]
             total, to = differenced(sums)
-            out = unit[["bucket", "h1", "h2"]].assign(local=to[:, 0].astype(np.int32))
-            yield out.assign(sums=[total.tolist(), *[None] * (len(unit) - 1)])
+            out = pd.DataFrame({k: unit[k] for k in ("bucket", "h1", "h2")}).assign(local=to[:, 0].astype(np.int32))
+            yield out.assign(sums=[total.tolist(), *[None] * (n - 1)])
 
     return difference
 
@@ -84,8 +85,9 @@ def _leaf(shards: int):
 def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(parent, bucket, sums) -> the renaming of each child's shards, and the parent's sums on its first row."""
     for unit in units(batches, ["parent"]):
-        total, to = differenced(np.stack(unit["sums"].to_numpy()).astype(np.int64))
-        yield unit[["parent", "bucket"]].assign(to=to.astype(np.int32).tolist(), sums=[total.tolist(), *[None] * (len(unit) - 1)])
+        total, to = differenced(np.stack(unit["sums"]).astype(np.int64))
+        out = pd.DataFrame({k: unit[k] for k in ("parent", "bucket")})
+        yield out.assign(to=to.astype(np.int32).tolist(), sums=[total.tolist(), *[None] * (len(out) - 1)])
 
 
 def group_shards(groups: DataFrame, n_groups: int, s: Sharding) -> DataFrame:

@@ -48,14 +48,18 @@ def multipliers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 2**63, size, np.uint64) | np.uint64(1), r.integers(0, 2**63, size, np.uint64)
 
 
-def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of the set under each of the hash functions, as 31-bit numbers; long sets go in pieces."""
-    least = np.full(len(a), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        for i in range(len(a)):
-            least[i] = min(least[i], (part * a[i] + b[i]).min())
-    return (least >> np.uint64(33)).astype(np.int32)
+def signatures(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """A row per set: its smallest member under each of the hash functions, as 31-bit numbers. No set may be empty."""
+    out = np.full((len(sets), len(a)), np.iinfo(np.uint64).max)
+    pieces = [(k, s[at : at + at_once]) for k, s in enumerate(sets) for at in range(0, len(s), at_once)]
+    while pieces:
+        n = int(np.searchsorted(np.cumsum([len(s) for _, s in pieces[:4096]]), at_once)) + 1
+        part, pieces = pieces[:n], pieces[n:]
+        rows, members = np.array([k for k, _ in part]), np.concatenate([s for _, s in part])
+        starts = np.cumsum([0, *[len(s) for _, s in part[:-1]]])
+        least = np.stack([np.minimum.reduceat(members * x + y, starts) for x, y in zip(a, b)], axis=1)
+        np.minimum.at(out, rows, least)
+    return (out >> np.uint64(33)).astype(np.int32)
 
 
 def signature_udf(width: int, size: int, seed: int):
@@ -67,7 +71,8 @@ def signature_udf(width: int, size: int, seed: int):
     def signed(texts: pd.Series) -> pd.DataFrame:
         known = WordHashes()
         sets = [shingle_set(t, width, known) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "sig": [signature(s, a, b) if len(s) else None for s in sets]})
+        signs = iter(signatures([s for s in sets if len(s)], a, b))
+        return pd.DataFrame({"n": [len(s) for s in sets], "sig": [next(signs) if len(s) else None for s in sets]})
 
     return signed
 
