@@ -8,9 +8,10 @@ naming is near it. A logistic model over the hits, fitted on other training rows
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -49,16 +50,23 @@ def fold(doc_id: Column, t: Toxicity) -> Column:
 
 
 def _term_counts(t: Toxicity):
+    """Texts that hold a term, by label, and a 64-bit set of the words before it: copies of one text add none."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            times: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(batch["body"], batch["toxic"]):
-                words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
-                stems = {w[:n] + "*" for w in words for n in range(t.stem[0], min(t.stem[1] + 1, len(w)))}
-                times[int(toxic)].update(words | stems)
-            for toxic, counter in times.items():
-                if counter:
-                    yield pd.DataFrame({"term": list(counter), "n": list(counter.values())}).assign(toxic=toxic)
+            for toxic, texts in batch.groupby("toxic")["body"]:
+                times, before = Counter(), defaultdict(int)
+                for text in texts:
+                    words = _WORD.findall(text.lower())
+                    seen = {w: 1 << (crc32(p.encode()) & 63) for p, w in zip(["", *words], words) if len(w) > 2}
+                    for w, bit in list(seen.items()):
+                        for n in range(t.stem[0], min(t.stem[1] + 1, len(w))):
+                            seen[w[:n] + "*"] = seen.get(w[:n] + "*", 0) | bit
+                    times.update(seen.keys())
+                    for term, bits in seen.items():
+                        before[term] |= bits
+                sets = np.array([before[term] for term in times], np.uint64).astype(np.int64)
+                yield pd.DataFrame({"term": list(times), "n": list(times.values()), "before": sets}).assign(toxic=toxic)
 
     return count
 
@@ -69,15 +77,30 @@ def learned_terms(rows: DataFrame, t: Toxicity) -> list[tuple[str, float]]:
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return []
-    counts = rows.select("body", "toxic").mapInPandas(_term_counts(t), "term string, n long, toxic int")
-    sum_of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0))
-    terms = staged(counts.groupBy("term").agg(sum_of(1).alias("x"), sum_of(0).alias("y")))
+    counts = rows.select("body", "toxic").mapInPandas(_term_counts(t), "term string, n long, before long, toxic int")
+    of = lambda label, c: F.when(F.col("toxic") == label, F.col(c))
+    sums = counts.groupBy("term").agg(F.sum(of(1, "n")).alias("x"), F.coalesce(F.sum(of(0, "n")), F.lit(0)).alias("y"), F.bit_count(F.bit_or(of(1, "before"))).alias("places"))
+    told = F.when(F.col("places") >= 20, F.col("x")).otherwise(F.least("x", "places"))  # few words before it: few independent texts
+    terms = staged(sums.filter("x > 0").select("term", told.cast("double").alias("x"), "y"))
     share, base = F.col("x") / (F.col("x") + F.col("y")), bad / (bad + good)
     gain = F.col("x") * F.log(share / base) + F.when(F.col("y") > 0, F.col("y") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     odds = F.log((F.col("x") + 0.5) / (bad - F.col("x") + 0.5)) - F.log((F.col("y") + 0.5) / (good - F.col("y") + 0.5))
     need = float(np.log(max(terms.count(), 1)) + 3)
-    best = terms.filter((F.col("x") > 0) & (share >= t.precision)).select("term", gain.alias("gain"), odds.alias("odds")).filter(F.col("gain") >= need)
-    return [(r.term, r.odds) for r in best.orderBy(F.desc("gain"), "term").limit(t.most_terms).collect()]
+    best = terms.filter(share >= t.precision).select("term", gain.alias("gain"), odds.alias("odds")).filter(F.col("gain") >= need)
+    return apart([(r.term, r.odds) for r in best.orderBy(F.desc("gain"), "term").limit(t.most_terms).collect()])
+
+
+def apart(terms: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Best terms first: without those that begin a better term, or that a better stem begins."""
+    stems, begun, kept = set(), set(), []
+    for term, weight in terms:
+        word = term.rstrip("*")
+        if not (term != word and word in begun) and not any(word[:n] in stems for n in range(1, len(word) + 1)):
+            kept.append((term, weight))
+            begun.update(word[:n] for n in range(1, len(word) + 1))
+            if term != word:
+                stems.add(word)
+    return kept
 
 
 class Scorer:
@@ -108,7 +131,7 @@ class Scorer:
         if not len(at):
             return [0.0] * len(FEATURES)
         inside, open_now = np.zeros(len(words), bool), False
-        for i, w in enumerate(words):
+        for i, w in enumerate(words if any(ch in text for ch in QUOTES) else []):
             marks = sum(ch in QUOTES for ch in w.decode("utf-8", "replace"))
             inside[i] = open_now or marks > 0
             open_now ^= marks % 2 == 1
