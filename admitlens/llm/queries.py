@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, linedup, mixing, packing, pqlinks, quality, sharding, toxicity
+from admitlens.llm import chosenpath, licenses, linedup, mixing, packing, pqlinks, quality, sharding, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -64,6 +64,42 @@ def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return toxicity.toxicity_scores(docs, labels)
 
 
+_NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+_LONGEST = max(len(ids) for _, ids in licenses.RULES)
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@_query("op5_license_scan", sql=f"""
+WITH known AS (SELECT known, {_NORMAL.format('raw')} AS sentence FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.SENTENCES.items())}) AS s(known, raw)),
+rules AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(name)}, [{", ".join(map(_quoted, ids))}])' for name, ids in licenses.RULES)}) AS r(license, ids)),
+parts AS (
+  SELECT doc_id, unnest(p) AS body, generate_subscripts(p, 1) AS part
+  FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.;:!?]+[\x20\x09-\x0D]+') AS p FROM documents)),
+lines AS (
+  SELECT doc_id, part, unnest(l) AS raw, generate_subscripts(l, 1) AS line
+  FROM (SELECT doc_id, part, CASE WHEN contains(body, chr(10)) THEN list_concat([body], string_split(body, chr(10))) ELSE [body] END AS l FROM parts)),
+hits AS (SELECT doc_id, part, line, known FROM (SELECT doc_id, part, line, {_NORMAL.format('raw')} AS sentence FROM lines) JOIN known USING (sentence)),
+seen AS (
+  SELECT doc_id, row_number() OVER w AS first, [{', '.join(f'lead(known, {k}) OVER w' for k in range(_LONGEST))}] AS ids, [{', '.join(f'lead(part, {k}) OVER w' for k in range(_LONGEST))}] AS parts
+  FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY part, line, known)),
+found AS (
+  SELECT doc_id, license, first, first + len(r.ids) - 1 AS last
+  FROM seen s JOIN rules r ON s.ids[1:len(r.ids)] = r.ids AND len(list_filter(range(2, len(r.ids) + 1), lambda k: s.parts[k] - s.parts[k - 1] > 3)) = 0),
+best AS (
+  SELECT * FROM (SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last DESC, license ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM found)
+  WHERE reached IS NULL OR last > reached),
+named AS (SELECT doc_id, license, min(first) AS first, count(*) AS n FROM best GROUP BY doc_id, license)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_matches, coalesce(string_agg(license, ',' ORDER BY first), '') AS licenses
+FROM documents d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id""")
+def license_scan(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    found = licenses.licenses_of(docs, licenses.sentence_table(spark), licenses.rule_table(spark))
+    return found.select("doc_id", "n_matches", F.array_join("licenses", ",").alias("licenses"))
+
+
 @_query("op6_source_mixing")
 def source_mixing(docs: DataFrame) -> DataFrame:
     taken = (F.col("size") * F.size("taken")).cast("long").alias("taken")
