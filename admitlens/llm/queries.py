@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, licenses, linedup, mixing, packing, pqlinks, quality, sharding, toxicity
+from admitlens.llm import chosenpath, licenses, linedup, mixing, packing, pqlinks, quality, sharding, suffixes, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -106,6 +106,11 @@ def source_mixing(docs: DataFrame) -> DataFrame:
     return mixing.draws(docs).select("doc_id", "size", "source_size", "target", taken, F.col("taken.shard").alias("shards"))
 
 
+@_query("op7_repeated_spans")
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    return suffixes.repeated_bytes(docs)
+
+
 @_query("op8_embedding_pq", "embeddings")
 def embedding_pq(vectors: DataFrame) -> DataFrame:
     return pqlinks.embedding_links(vectors)
