@@ -38,14 +38,13 @@ def recent_lines(lines: DataFrame, universities: DataFrame, majors: DataFrame, s
 
 def school_candidates(
     applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int = MAX_LINES,
-    shapes: Sequence[tuple[str, ...]] | None = None, dictionaries: dict[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(applicants with their profile, per profile one line per school with the school's subject level).
 
     The best 200 lines of a profile count; a school keeps its highest one.
     """
     order = [F.col("total_score_line").desc(), F.col("score_line_id")]
-    asked, top = ranked_candidates(applicants, lines, MATCH_FILTERS, [], order, max_lines, shapes=shapes, dictionaries=dictionaries)
+    asked, top = ranked_candidates(applicants, lines, MATCH_FILTERS, [], order, max_lines)
     schools = top_n(top, ["_profile", "university_id"], [F.col("_rank")])
     start = F.coalesce(F.substring("major_name", 1, 4), F.lit(""))
     r = rates.select("university_id", F.col("id").alias("_rate_id"), "subject_name", F.col("level_rate").alias("subject_level"))
@@ -57,12 +56,10 @@ def school_candidates(
 
 
 def match_schools(
-    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int = MAX_LINES,
-    shapes: Sequence[tuple[str, ...]] | None = None, keep: Sequence[str] = ("applicant_id",),
-    dictionaries: dict[str, DataFrame] | None = None,
+    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int = MAX_LINES, keep: Sequence[str] = ("applicant_id",),
 ) -> DataFrame:
     """Reach, match and safety schools per applicant; how many of each depends on the risk preference."""
-    asked, schools = school_candidates(applicants, lines, rates, max_lines, shapes, dictionaries)
+    asked, schools = school_candidates(applicants, lines, rates, max_lines)
     pairs = attach(asked.select(*keep, "user_score", "risk_preference", "_profile"), schools, keep)
     diff = F.col("user_score") - F.col("total_score_line")
     rows = pairs.withColumn("score_diff", diff).withColumn(

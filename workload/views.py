@@ -173,14 +173,6 @@ class Views:
             F.when(pri == "1", F.lit(3)).alias("bucket_limit"),
         )
 
-    SHAPES = [
-        ("major_code",),
-        ("province", "major_name"),
-        ("province", "major_category", "degree_type"),
-        ("province", "major_category", "study_mode", "preferred_school_levels"),
-        ("major_name",),
-    ]
-
 
 # The same views as SQL (DuckDB dialect), in dependency order.
 SQL_VIEWS = {
