@@ -73,6 +73,7 @@ RULES = [
 ]
 
 _ENDS = r"[.;:!?]+[\x20\x09-\x0D]+"
+_BLANK_LINE = r"\n[\x20\x09-\x0D]*\n"
 
 
 def normal(sentence: Column) -> Column:
@@ -95,11 +96,12 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]] | None =
 def recognised(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     """(doc_id, t, part, line, known): known sentences of each distinct (doc_id, text hash t), by part and line.
 
-    A sentence may run over several lines, or be a line of its own without punctuation before it.
+    A sentence may run over several lines of a paragraph, or be a paragraph or line of its own without punctuation before it.
     """
     parts = docs.select("doc_id", F.xxhash64(text_of()).alias("t"), F.posexplode(F.split(text_of(), _ENDS)).alias("part", "body"))
-    whole = F.when(F.contains("body", F.lit("\n")), F.concat(F.array("body"), F.split("body", "\n"))).otherwise(F.array("body"))
-    lines = parts.select("doc_id", "t", "part", F.posexplode(whole).alias("line", "raw"))
+    with_lines = lambda p: F.when(F.contains(p, F.lit("\n")), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p))
+    pieces = F.flatten(F.transform(F.split("body", _BLANK_LINE), with_lines))
+    lines = parts.select("doc_id", "t", "part", F.posexplode(pieces).alias("line", "raw"))
     return lines.select("doc_id", "t", "part", "line", normal(F.col("raw")).alias("sentence")).join(sentences, "sentence").drop("sentence").distinct()
 
 

@@ -26,7 +26,46 @@ def _query(name: str, tables: str = "documents", sql: str | None = None) -> Call
     return wrap
 
 
-@_query("op1_quality_rules")
+_RULES = quality.QualityRules()
+_FENCES = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {end} END) AS {m}_{end}" for m in quality.MEASURES for end in ("low", "high"))
+_PAIRS = ", ".join(f"{{'measure': '{m}', 'v': {c} * 1000 // greatest(n_words, 1)}}" for m, (c, _) in quality.MEASURES.items())
+_INSIDE = " AND ".join(f"{c} * 1000 // greatest(n_words, 1) BETWEEN {f'{m}_low' if low else '0'} AND {m}_high" for m, (c, low) in quality.MEASURES.items())
+_LEAST = " ".join(f"WHEN '{m}' THEN {x}" for m, x in _RULES.least)
+
+
+def _quartiles(by: str) -> str:
+    """Quarter points of the histograms merged to some columns."""
+    value = "min(CASE WHEN 4 * upto >= {k} * total THEN cell END)"
+    q = lambda k: (lambda c: f"CASE WHEN {c} < 64 THEN {c} ELSE ({c} % 32 + 32) << ({c} // 32 - 1)::INTEGER END")(value.format(k=k))
+    return f"""SELECT {by} measure, {q(1)} AS q1, {q(3)} AS q3, max(total) AS total FROM (
+      SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS total
+      FROM (SELECT {by} measure, cell, sum(n)::BIGINT AS n FROM cells GROUP BY {by} measure, cell)) GROUP BY {by} measure"""
+
+
+@_query("op1_quality_rules", sql=f"""
+WITH base AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) AS o(d) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM base b LEFT JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+rows AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM counts),
+measured AS (SELECT lang, source, p.measure, p.v FROM (SELECT lang, source, unnest([{_PAIRS}]) AS p FROM rows WHERE NOT base_failed)),
+cells AS (
+  SELECT lang, source, measure, 32 * shift + (v >> shift) AS cell, count(*) AS n
+  FROM (SELECT *, greatest(length(ltrim(bin(v), '0')) - 6, 0)::INTEGER AS shift FROM measured) GROUP BY ALL),
+own AS ({_quartiles('lang, source,')}), by_lang AS ({_quartiles('lang,')}), by_all AS ({_quartiles('')}),
+used AS (
+  SELECT o.lang, o.source, measure, CASE WHEN o.total >= {_RULES.min_group} THEN o.q1 WHEN l.total >= {_RULES.min_group} THEN l.q1 ELSE a.q1 END AS q1,
+    CASE WHEN o.total >= {_RULES.min_group} THEN o.q3 WHEN l.total >= {_RULES.min_group} THEN l.q3 ELSE a.q3 END AS q3
+  FROM own o JOIN by_lang l USING (measure) JOIN by_all a USING (measure) WHERE o.lang IS NOT DISTINCT FROM l.lang),
+wide AS (SELECT *, greatest({_RULES.spread} * (q3 - q1), CASE measure {_LEAST} END) AS far FROM used),
+fences AS (SELECT lang, source, {_FENCES} FROM (SELECT lang, source, measure, q1 - far AS low, q3 + far AS high FROM wide) GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_INSIDE}, false) AS kept
+FROM rows r LEFT JOIN fences f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source""")
 def quality_rules(docs: DataFrame) -> DataFrame:
     return quality.quality_verdicts(docs)
 
@@ -80,7 +119,8 @@ parts AS (
   FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.;:!?]+[\x20\x09-\x0D]+') AS p FROM documents)),
 lines AS (
   SELECT doc_id, part, unnest(l) AS raw, generate_subscripts(l, 1) AS line
-  FROM (SELECT doc_id, part, CASE WHEN contains(body, chr(10)) THEN list_concat([body], string_split(body, chr(10))) ELSE [body] END AS l FROM parts)),
+  FROM (SELECT doc_id, part, flatten(list_transform(regexp_split_to_array(body, '\\n[\\x20\\x09-\\x0D]*\\n'),
+    lambda p: CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END)) AS l FROM parts)),
 hits AS (SELECT doc_id, part, line, known FROM (SELECT doc_id, part, line, {_NORMAL.format('raw')} AS sentence FROM lines) JOIN known USING (sentence)),
 seen AS (
   SELECT doc_id, row_number() OVER w AS first, [{', '.join(f'lead(known, {k}) OVER w' for k in range(_LONGEST))}] AS ids, [{', '.join(f'lead(part, {k}) OVER w' for k in range(_LONGEST))}] AS parts

@@ -65,6 +65,8 @@ def _term_counts(t: Toxicity):
                     times.update(seen.keys())
                     for term, bits in seen.items():
                         before[term] |= bits
+                if not times:
+                    continue
                 sets = np.array([before[term] for term in times], np.uint64).astype(np.int64)
                 yield pd.DataFrame({"term": list(times), "n": list(times.values()), "before": sets}).assign(toxic=toxic)
 
