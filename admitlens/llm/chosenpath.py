@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, p: ChosenPath = ChosenPath()) -> tuple[Data
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = found.join(staged(sizes), "component").select(F.col("component").alias("cluster"), F.col("node").alias("c"), "n")
     members = staged(members.join(nodes.select("c", "doc", "copies"), "c"))
-    sets = staged(base.join(members, ["c", "doc"]).select("cluster", "c", "n", "copies", set_udf(p.width)("body").alias("shingles")))
+    # a merge join at every size: the texts' share of the shuffle doesn't change with the number of candidates
+    sets = staged(base.join(members.hint("merge"), ["c", "doc"]).select("cluster", "c", "n", "copies", set_udf(p.width)("body").alias("shingles")))
     met = block_pairs(sets, "cluster", "c", "n", p.leaf).select("cluster", "i", "j", "b", "c", "copies", "shingles")
     stars = staged(side_by_side(met, ["cluster", "i", "j"]).mapInPandas(_verified(p.threshold), "u long, v long, links long"))
     release(sets)
