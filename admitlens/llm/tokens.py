@@ -6,6 +6,7 @@ import os
 import unicodedata
 import zlib
 from functools import cache
+from struct import pack
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class WordTokens(dict):
     tokenizer's whole way.
     """
 
-    limit = 400_000
+    limit = 1_000_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -42,9 +43,9 @@ class WordTokens(dict):
         if len(word) > 1 and word[-1] in _TAILS and word[-2:-1].isalnum():
             return self[word[:-1]] + self[word[-1:]]
         text = word.decode("utf-8", "surrogatepass")
-        spelled = [self._letter(ch) for ch in text]
+        spelled = [text] if word.isalpha() else [self._letter(ch) for ch in text]  # of bytes: A-Z and a-z
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids if None in spelled else [t.id for t in self.model.tokenize("".join(spelled))]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self._encode(word)
