@@ -188,7 +188,9 @@ def mixed(docs: DataFrame, m: Mix = Mix(), slices: int = 16) -> DataFrame:
     plan = staged(plan.filter(F.size("taken") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "h", "taken", "times"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), _order(m).alias("h"))
     single = rows.join(plan.filter("times = 1"), ["id", "h"]).select("row", "taken")
-    several = rows.join(plan.filter("times > 1"), ["id", "h"]).dropDuplicates(["id", "h"]).select("row", "taken")
-    out = single.union(several).select("row", F.explode("taken").alias("t"))
+    if not plan.filter("times > 1").isEmpty():  # equal rows share one entry: it goes to one of them
+        several = rows.join(plan.filter("times > 1"), ["id", "h"]).dropDuplicates(["id", "h"])
+        single = single.union(several.select("row", "taken"))
+    out = single.select("row", F.explode("taken").alias("t"))
     slice_ = F.pmod("t.at", F.lit(slices))
     return out.repartition(F.col("t.shard"), slice_).sortWithinPartitions("t.shard", slice_, "t.at").select("row.*")
