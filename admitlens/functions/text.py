@@ -20,8 +20,8 @@ _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def missing_to_null(c: Column) -> Column:
-    """Empty text is a missing value."""
-    return F.when(c != "", c)
+    """Empty text is a missing value. `c` is computed once."""
+    return F.nullif(c, F.lit(""))
 
 
 def strip(c: Column) -> Column:

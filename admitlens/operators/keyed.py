@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPREAD = 32  # pieces a key is split into where all of its rows are needed
+from admitlens.sources.stage import staged
 
 
 def _cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -42,19 +42,15 @@ def best_row(df: DataFrame, keys: Sequence[str | Column], rank: Sequence[Column]
     return top_n(df, keys, [*rank, F.col(line).asc()])
 
 
-def later_rows(df: DataFrame, keys: Sequence[str | Column], line: str, spread: int = SPREAD) -> DataFrame:
+def later_rows(df: DataFrame, keys: Sequence[str | Column], line: str) -> DataFrame:
     """Every row but the first of its key: the duplicates `first_wins` leaves out.
 
-    A key is split by line number. Rows that are not first in their piece are duplicates;
-    only the at most `spread` piece leaders of a key meet in one place.
+    The first line of a key is a partial aggregate; the join back is split by adaptive execution where a key is hot.
     """
-    piece = df.withColumn("_piece", F.pmod(F.xxhash64(F.col(line)), F.lit(spread)))
-    local = piece.withColumn("_rn", F.row_number().over(Window.partitionBy(*_cols(keys), "_piece").orderBy(line)))
-    inner = local.filter(F.col("_rn") > 1)
-    leaders = local.filter(F.col("_rn") == 1).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*_cols(keys)).orderBy(line))
-    )
-    return inner.unionByName(leaders.filter(F.col("_rn") > 1)).drop("_rn", "_piece")
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, _cols(keys))))
+    firsts = keyed.groupBy(*names).agg(F.min(line).alias("_first"))
+    return null_safe_join(keyed, firsts, names, "inner").filter(F.col(line) > F.col("_first")).drop(*names, "_first")
 
 
 def surplus_count(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
@@ -110,10 +106,13 @@ def consecutive_ids(
 ) -> DataFrame:
     """1..n in the order (stage, position, tie) without sorting everything in one task.
 
-    `position` is a long; buckets are ranges of it, so each holds a bounded number of rows. The bucket
-    table (one row per million positions) gives the offsets.
+    `position` is a long; buckets are ranges of it, as many as make `bucket_rows` rows on average however far apart
+    the positions lie. The bucket table gives the offsets. The input is computed once.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.coalesce(F.col(position), F.lit(0)) / bucket_rows))
+    rows, at = staged(df), F.coalesce(F.col(position), F.lit(0))
+    count, low, high = rows.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-count // bucket_rows))))
+    bucketed = rows.withColumn("_bucket", F.floor((at - F.lit(low or 0)) / width))
     sizes = bucketed.groupBy(stage, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy(stage, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

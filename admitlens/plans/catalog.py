@@ -16,7 +16,6 @@ from admitlens.rules import OFFICIAL_SITES, PRIORITIES
 
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 200
-MAX_OPTIONS = 1000
 
 
 # --- filters ---------------------------------------------------------------------------------
@@ -88,7 +87,7 @@ def filter_sources(
 
 def score_line_lookup(
     lines: DataFrame, university_id: int | None = None, major_id: int | None = None, year: int | None = None,
-    line_type: str | None = None, limit: int | None = 100,
+    line_type: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Lines by any of four keys, newest first."""
     found = lines.filter(
@@ -150,11 +149,11 @@ def source_list(documents: DataFrame, universities: DataFrame) -> DataFrame:
 
 
 def page_bounds(limit: int | None = None, offset: int | None = None) -> tuple[int, int]:
-    """Checked page size and offset: default 50 rows, 200 at most."""
+    """Checked page size and offset: default 50 rows; more than 200 are refused."""
     size, start = int(limit or DEFAULT_LIMIT), int(offset or 0)
-    if size <= 0 or start < 0:
-        raise ValueError("limit must be positive and offset not negative")
-    return min(size, MAX_LIMIT), start
+    if not 0 < size <= MAX_LIMIT or start < 0:
+        raise ValueError(f"limit must be from 1 to {MAX_LIMIT} and offset not negative")
+    return size, start
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -165,7 +164,7 @@ def page(df: DataFrame, order: Sequence[Column], limit: int | None = None, offse
     return rows.withColumn("total", total).withColumn("has_more", F.lit(start + size) < F.col("total"))
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 50) -> DataFrame:
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
     """The newest rows of every key, for example the last 50 runs of each user."""
     return top_n(df, keys, order, limit, rank="position")
 
@@ -175,7 +174,7 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def major_options(
     plans: DataFrame, majors: DataFrame, universities: DataFrame, major_category: str | None = None,
-    school_id: int | None = None, limit: int | None = MAX_OPTIONS,
+    school_id: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Majors that have plans, largest first; categories without a name share one label."""
     named = (F.col("major_code") != "") & (F.col("major_name") != "")
@@ -203,7 +202,7 @@ def line_options(lines: DataFrame, by: Sequence[str] = ("university_id",), limit
 
 
 def major_name_search(
-    majors: DataFrame, plans: DataFrame, keyword: str, limit: int | None = 12, major_category: str | None = None,
+    majors: DataFrame, plans: DataFrame, keyword: str, limit: int | None = None, major_category: str | None = None,
     degree_type: str | None = None, study_mode: str | None = None, target_year: int | None = None,
 ) -> DataFrame:
     """Majors whose name contains the keyword, with the number of schools and the planned places."""
@@ -220,19 +219,17 @@ def major_name_search(
         F.count_distinct("university_id").alias("match_count"), F.sum(F.coalesce("_plan", F.lit(0))).alias("total_plan")
     )
     order = [F.desc("total_plan"), F.desc("match_count"), F.octet_length("major_name"), "major_name", "major_code", "major_category"]
-    return _limited(grouped, order, None if limit is None else max(1, min(limit, 50)))
+    return _limited(grouped, order, limit)
 
 
-def category_search(majors: DataFrame, lines: DataFrame, keyword: str, limit: int | None = 12, readable: bool = True) -> DataFrame:
+def category_search(majors: DataFrame, lines: DataFrame, keyword: str, limit: int | None = None, readable: bool = True) -> DataFrame:
     """Category names of majors, major lines and national lines that contain the keyword, shortest first."""
     hit = F.col("major_category").contains(keyword.strip()) & (F.col("major_category") != "")
     both = majors.select("major_category").unionByName(
         lines.filter(F.col("line_type").isin("major", "national")).select("major_category")
     )
     found = both.filter(hit).distinct()
-    cut = _limited(
-        found, [F.octet_length("major_category"), "major_category"], None if limit is None else max(1, min(limit, 50))
-    )
+    cut = _limited(found, [F.octet_length("major_category"), "major_category"], limit)
     kept = cut.filter(readable_category(F.col("major_category"))) if readable else cut
     return kept.select(strip(F.col("major_category")).alias("major_category"))
 
@@ -322,7 +319,7 @@ def profile_rows(university_id_column: str, parts: dict[str, DataFrame]) -> Data
 
 def schools_with_major(
     universities: DataFrame, majors: DataFrame, major_category: str | None = None, province: str | None = None,
-    school_type: str | None = None, school_level: str | None = None, limit: int | None = 20,
+    school_type: str | None = None, school_level: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Universities that have a major of the category (all of them when none is asked for)."""
     u = universities.filter(optional_filters({"province": province, "school_type": school_type}, {"school_level": school_level}))

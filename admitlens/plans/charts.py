@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from admitlens.plans.trends import latest_year
 
 UNCLASSIFIED = "未分类"
-MAX_TOP = 30
 
 
 def line_trend(score_lines: DataFrame, by: Sequence[str] = ("university_id", "major_category")) -> DataFrame:
@@ -46,8 +45,8 @@ def plan_totals(
     return joined.groupBy("year").agg(F.sum("plan_count").alias("total_plan"), F.count_distinct("major_id").alias("major_count"))
 
 
-def category_heat(plans: DataFrame, majors: DataFrame, year: int | None = None, top: int = 10) -> DataFrame:
-    """The categories with the most planned places in one year (the newest when none is given)."""
+def category_heat(plans: DataFrame, majors: DataFrame, year: int | None = None, top: int | None = None) -> DataFrame:
+    """The categories by planned places in one year (the newest when none is given); the first `top` of them, or all."""
     chosen = latest_year(plans) if year is None else F.lit(year)
     m = majors.filter(F.col("major_category") != "").select(F.col("id").alias("major_id"), F.col("major_category").alias("category"))
     grouped = (
@@ -56,7 +55,7 @@ def category_heat(plans: DataFrame, majors: DataFrame, year: int | None = None,
         .groupBy("category")
         .agg(F.sum("plan_count").alias("total_plan"), F.count(F.lit(1)).alias("major_count"))
     )
-    return grouped.orderBy(F.desc("total_plan"), F.desc("major_count"), "category").limit(min(top, MAX_TOP))
+    return grouped if top is None else grouped.orderBy(F.desc("total_plan"), F.desc("major_count"), "category").limit(top)
 
 
 def distribution(df: DataFrame, column: str, unknown: str = UNCLASSIFIED) -> DataFrame:

@@ -23,11 +23,11 @@ def item_keywords(*columns: Column, words: Sequence[str] = tuple(EVIDENCE_WORDS)
 
 
 def registered_documents(
-    wanted: DataFrame, documents: DataFrame, limit: int | None = 20, types: Sequence[str] | None = tuple(EVIDENCE_TYPES)
+    wanted: DataFrame, documents: DataFrame, limit: int | None = None, types: Sequence[str] | None = tuple(EVIDENCE_TYPES)
 ) -> DataFrame:
     """Documents of each (university, target year): this year, the year before, or no year.
 
-    The newest `limit` documents are looked at (None: all), then only the allowed types stay.
+    Only the allowed types count; of those the newest `limit`, or all.
     """
     docs = documents.filter(F.col("local_path") != "").select(
         F.col("id").alias("doc_id"), F.col("university_id"), F.col("year").alias("_year"), "document_type",
@@ -36,10 +36,10 @@ def registered_documents(
     dated = docs.filter(F.col("_year").isNotNull()).withColumn("target_year", F.explode(F.array(F.col("_year"), F.col("_year") + 1)))
     undated = docs.filter(F.col("_year").isNull())
     pool = dated.join(wanted, keys).unionByName(undated.join(wanted, "university_id").select(*dated.columns))
-    if limit is not None:
-        pool = top_n(pool, keys, [F.col("_year").desc_nulls_last(), F.col("doc_id").desc()], limit)
     if types is not None:
         pool = pool.filter(F.col("document_type").isin(list(types)))
+    if limit is not None:
+        pool = top_n(pool, keys, [F.col("_year").desc_nulls_last(), F.col("doc_id").desc()], limit)
     return pool.select(*keys, "doc_id", F.lit(0).alias("_source"), F.coalesce("_year", F.lit(-1)).alias("_order"))
 
 
@@ -64,8 +64,8 @@ def named_documents(items: DataFrame, files: DataFrame) -> DataFrame:
     return hits.join(named.select("doc_id", "_file"), "_file").select("university_name", "major_name", "target_year", "doc_id")
 
 
-def merged_documents(first: DataFrame, second: DataFrame, keys: Sequence[str], path: str, order: str, limit: int | None = 50) -> DataFrame:
-    """Both document lists without repeated paths (the first list wins), the first `limit` per key."""
+def merged_documents(first: DataFrame, second: DataFrame, keys: Sequence[str], path: str, order: str, limit: int | None = None) -> DataFrame:
+    """Both document lists without repeated paths (the first list wins), the first `limit` per key or all."""
     both = first.withColumn("_list", F.lit(0)).unionByName(second.withColumn("_list", F.lit(1)))
     ranked = both.withColumn("_place", F.struct("_list", order)).withColumn("_path", F.lower(path))
     once = first_wins(ranked, [*keys, "_path"], "_place")
@@ -97,7 +97,7 @@ def best_passages(
 
 def attach_evidence(
     items: DataFrame, documents: DataFrame, web_hits: DataFrame | None = None, item_id: str = "item_id", top_k: int = 3,
-    doc_limit: int | None = 20, types: Sequence[str] | None = tuple(EVIDENCE_TYPES),
+    doc_limit: int | None = None, types: Sequence[str] | None = tuple(EVIDENCE_TYPES),
 ) -> DataFrame:
     """Items with local and web hits, confidence, summary and raised scores.
 

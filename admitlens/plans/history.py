@@ -76,9 +76,9 @@ def reclassify(logs: DataFrame, rules: Rules = RULES) -> DataFrame:
     )
 
 
-def user_history(logs: DataFrame, limit: int = 50, rules: Rules = RULES) -> DataFrame:
-    """The newest logs of each user, re-tiered."""
-    newest = top_n(logs, ["user_id"], [F.desc("created_at"), F.desc("id")], limit)
+def user_history(logs: DataFrame, limit: int | None = None, rules: Rules = RULES) -> DataFrame:
+    """The logs of each user re-tiered: the newest `limit` of them, or all."""
+    newest = logs if limit is None else top_n(logs, ["user_id"], [F.desc("created_at"), F.desc("id")], limit)
     return reclassify(newest, rules)
 
 

@@ -29,7 +29,7 @@ def sample(spark):
 def test_first_and_later_rows_partition_the_input(sample):
     rows, df = sample
     first = {r.line for r in keyed.first_wins(df, ["key", "year"], "line").collect()}
-    later = [r.line for r in keyed.later_rows(df, ["key", "year"], "line", spread=5).collect()]
+    later = [r.line for r in keyed.later_rows(df, ["key", "year"], "line").collect()]
     want = {}
     for line, key, year, _ in sorted(rows):
         want.setdefault((key, year), line)
@@ -140,3 +140,28 @@ def test_candidates_equal_brute_force(spark):
         ]
         ok.sort(key=lambda x: (-x[7], x[0]))
         assert sorted(got.get(rid, [])) == [(k, x[0]) for k, x in enumerate(ok[:7], start=1)]
+
+
+def test_upsert_with_repeated_source_keys(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    source = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 4), (2, "e", 3)], "k int, v string, line int")
+    assert sorted(map(tuple, sinks.upsert(target, source, ["k"], ["v"], line="line").collect())) == [(1, "c"), (2, "d")]
+    with pytest.raises(Exception, match="a key occurs twice"):
+        sinks.upsert(target, source, ["k"], ["v"]).collect()
+
+
+def test_later_rows_of_a_hot_key(spark):
+    rows = spark.range(2000).selectExpr("id as line", "if(id % 10 < 9, null, id % 70) as k")
+    later = keyed.later_rows(rows, ["k"], "line")
+    assert later.columns == rows.columns
+    firsts = {}
+    for line in range(2000):
+        firsts.setdefault(None if line % 10 < 9 else line % 70, line)
+    assert sorted(r.line for r in later.collect()) == sorted(set(range(2000)) - set(firsts.values()))
+
+
+def test_ids_of_far_apart_positions(spark):
+    rows = spark.range(500).selectExpr("0 as stage", "(id * 7919 % 500) * 1000000000000 as at")
+    got = keyed.consecutive_ids(rows, "stage", "at", [], "n", bucket_rows=60).orderBy("at").collect()
+    assert [r.n for r in got] == list(range(1, 501))
+    assert keyed.consecutive_ids(rows.limit(0), "stage", "at", [], "n").count() == 0

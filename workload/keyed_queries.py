@@ -125,14 +125,15 @@ def missing_schools(v: Views) -> DataFrame:
 
 @query(
     "unresolved_keys", "V7 U5 U4",
-    """SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-    UNION SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders)""",
+    """SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+    UNION SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def unresolved_keys(v: Views) -> DataFrame:
+    """Keys without a finished order."""
     a = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("key"))
     b = v.table("labels").select(F.col("doc_id").cast("string").alias("key"))
     keys = union_ids([a, b], "key")
-    known = v.table("orders").select(F.col("o_orderkey").cast("string").alias("key"), F.lit(1).alias("id"))
+    known = v.table("orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").cast("string").alias("key"), F.lit(1).alias("id"))
     return joins.unresolved(keys, known, ["key"]).select(F.col("key").cast("bigint").alias("key"))
 
 
@@ -326,12 +327,14 @@ def latest_source(v: Views) -> DataFrame:
 @query(
     "resume_pending", "J20",
     """SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R' AND (l_orderkey, l_suppkey) NOT IN
-      (SELECT (l_orderkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')""",
+      (SELECT (l_orderkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R' OR l_shipdate < TIMESTAMP '1996-01-01')""",
 )
 def resume_pending(v: Views) -> DataFrame:
-    li = v.table("lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "success").otherwise("error").alias("status"))
+    """Work of an earlier run is done, and so are the keys that this run has marked."""
+    status = F.when(F.col("l_returnflag") == "R", "success").otherwise("error").alias("status")
+    li = v.table("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", status)
     keys = ["l_orderkey", "l_suppkey"]
-    done = resume.completed_keys(li.select(*keys).limit(0), li, keys, "status")
+    done = resume.completed_keys(li.filter(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")).select(*keys), li, keys, "status")
     return resume.pending(li.select(*keys).distinct(), done, keys)
 
 

@@ -106,7 +106,7 @@ def sources_page(v: Views) -> DataFrame:
     ),
 )
 def score_lookup(v: Views) -> DataFrame:
-    rows = catalog.score_line_lookup(v.score_lines, university_id=3, line_type="major")
+    rows = catalog.score_line_lookup(v.score_lines, university_id=3, line_type="major", limit=100)
     return rows.select("id", "year", "line_type", "major_category", "total_score_line")
 
 
@@ -198,7 +198,7 @@ def line_options(v: Views) -> DataFrame:
     ),
 )
 def name_search(v: Views) -> DataFrame:
-    return catalog.major_name_search(v.majors, v.plans, "plate")
+    return catalog.major_name_search(v.majors, v.plans, "plate", 12)
 
 
 @query(
@@ -306,7 +306,7 @@ def profile_rows(v: Views) -> DataFrame:
     ),
 )
 def schools_with_major(v: Views) -> DataFrame:
-    found = catalog.schools_with_major(v.universities, v.majors, major_category="LARGE", school_level="双一流")
+    found = catalog.schools_with_major(v.universities, v.majors, major_category="LARGE", school_level="双一流", limit=20)
     return found.select("id", "university_name", "school_level")
 
 

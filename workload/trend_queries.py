@@ -282,14 +282,16 @@ def yearly_change(v: Views) -> DataFrame:
     return out.withColumn("rate", change_rate(F.col("total"), F.col("previous_total")))
 
 
+YEARS = range(1992, 2003)  # more than the years of any plan
+
+
 @query(
     "rows_per_year", "A18",
     with_views(
         "plans",
-        """SELECT university_id AS school_id, count(*) FILTER (year = 1998) AS "1998", count(*) FILTER (year = 1999) AS "1999",
-          count(*) FILTER (year = 2000) AS "2000" FROM plans GROUP BY 1""",
+        f"""SELECT university_id AS school_id, {', '.join(f'count(*) FILTER (year = {y}) AS "{y}"' for y in YEARS)} FROM plans GROUP BY 1""",
     ),
 )
 def rows_per_year(v: Views) -> DataFrame:
     rows = v.plans.select(F.col("university_id").alias("school_id"), F.col("year").cast("string").alias("year"))
-    return rows_per_school_year(rows, ["1998", "1999", "2000"]).na.fill(0)
+    return rows_per_school_year(rows, [str(y) for y in YEARS]).na.fill(0)
