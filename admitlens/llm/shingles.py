@@ -15,7 +15,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """Hash of a word, remembered up to a number of words."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -25,7 +25,7 @@ class WordTokens(dict):
     tokenizer's whole way.
     """
 
-    limit = 1_000_000
+    limit = 600_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
