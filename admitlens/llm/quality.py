@@ -60,10 +60,14 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def counts_of(texts: pd.Series) -> pd.DataFrame:
+def _counts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_counts(t) for t in texts], columns=COUNTS)
 
 
+#: So marked, Spark doesn't count the words again for every filter it moves below the projection.
+counts_of = _counts.asNondeterministic()
+
+
 def _measure(name: str) -> Column:
     """Per thousand words, as a whole number."""
     return F.expr(f"{MEASURES[name][0]} * 1000 div greatest(n_words, 1)")
