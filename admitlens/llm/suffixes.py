@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from admitlens.llm.blocks import side_by_side
-from admitlens.llm.common import LAST_ID, text_of
+from admitlens.llm.common import LAST_ID, text_of, two_hashes
 from admitlens.sources.stage import release, staged
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """Length of the strings, bytes of a sampled name, bytes of a text worked on at once, places of a sample that one task compares."""
+    """Length of the strings, bytes of a sampled name, bytes of a text worked on at once, places of a sample that one task compares (under 7 MB)."""
 
     length: int = 200
     sample: int = 24
     block: int = 1 << 19
-    together: int = 2048
+    together: int = 16384
 
 
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -116,15 +116,11 @@ def _contexts_udf():
 
 
 def _window_names_udf(p: Repeats):
-    """(text, places) -> the names of each place's windows."""
+    """bytes of a place -> the names of its windows."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-    def named(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        out = []
-        for text, first, last in zip(texts, lo, hi):
-            data = _bytes(text)
-            out.append([names(data[a : b + p.length], p.length).astype(np.int64) for a, b in zip(first, last)])
-        return pd.Series(out)
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def named(contexts: pd.Series) -> pd.Series:
+        return pd.Series([names(np.frombuffer(x, np.uint8), p.length).astype(np.int64) for x in contexts])
 
     return named
 
@@ -224,17 +220,24 @@ def repeated_bytes(docs: DataFrame, p: Repeats = Repeats(), with_text: bool = Fa
     few = few.select("doc", "c", F.explode(F.arrays_zip("p", "context")).alias("x")).select(F.col("x.p.name").alias("name"), "doc", "c", F.col("x.p.lo").alias("lo"), "x.context")
     spans = side_by_side(few, ["name"]).mapInPandas(_compared(p), "doc long, c long, a int, b int")
 
-    many = of(True).select("doc", "c", "p", _window_names_udf(p)("body", "p.lo", "p.hi").alias("names"))
-    many = many.select("doc", "c", F.explode(F.arrays_zip("p", "names")).alias("x"))
-    many = staged(many.select("doc", "c", F.posexplode("x.names").alias("at", "name"), F.col("x.p.lo").alias("lo")).select("doc", "c", "name", (F.col("lo") + F.col("at")).alias("a")))
-    again = staged(many.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"))
-    spans = spans.union(many.join(again, "name").select("doc", "c", "a", (F.col("a") + p.length).alias("b")))
+    # samples with more places than one task compares: equal contexts are one, then all windows of different ones meet by name
+    many = of(True).select("doc", "c", "p", _contexts_udf()("body", "p.lo", "p.hi", F.lit(p.length)).alias("context"))
+    many = many.select("doc", "c", F.explode(F.arrays_zip("p", "context")).alias("x")).select("doc", "c", F.col("x.p.lo").alias("lo"), "x.context")
+    h1, h2 = two_hashes(F.col("context"))
+    many = staged(many.select("doc", "c", "lo", "context", h1.alias("h1"), h2.alias("h2")))
+    apart = staged(many.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context")))
+    windows = staged(apart.select("h1", "h2", "n", F.posexplode(_window_names_udf(p)("context")).alias("a", "name")))
+    again = staged(windows.groupBy("name").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("name"))
+    single = windows.filter("n = 1").join(again, "name").select("h1", "h2", "a", (F.col("a") + p.length).alias("b"))
+    whole = apart.filter("n > 1").select("h1", "h2", F.lit(0).alias("a"), F.octet_length("context").alias("b"))
+    found = many.select("doc", "c", "lo", "h1", "h2").join(staged(single.union(whole)), ["h1", "h2"])
+    spans = spans.union(found.select("doc", "c", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")))
 
     gone = spans.groupBy("doc", "c").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cut = held.select("doc", "c", "body").join(gone, ["doc", "c"]).select("c", _cut_udf()("body", "spans.a", "spans.b").alias("r"))
     kept = ["r.kept"] if with_text else []
     results = staged(cut.select("c", "r.n_removed", "r.n_spans", "r.kept_sha256", *kept))
-    release(many, again, held)
+    release(many, apart, windows, again, held)
 
     full = (F.col("copies") > 1) & (F.col("n_bytes") >= p.length)
     judged = texts.join(results, "c", "left").select(
