@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from admitlens.llm.common import text_of
+from admitlens.llm.common import text_of, two_hashes
 
 # Sentences of public licences and of the usual notices that name them.
 SENTENCES = {
@@ -102,7 +102,9 @@ def recognised(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     with_lines = lambda p: F.when(F.contains(p, F.lit("\n")), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p))
     pieces = F.flatten(F.transform(F.split("body", _BLANK_LINE), with_lines))
     lines = parts.select("doc_id", "t", "part", F.posexplode(pieces).alias("line", "raw"))
-    return lines.select("doc_id", "t", "part", "line", normal(F.col("raw")).alias("sentence")).join(sentences, "sentence").drop("sentence").distinct()
+    hashed = lambda c: [h.alias(n) for h, n in zip(two_hashes(c), ("h1", "h2"))]  # noqa: E731  shuffled instead of the sentences
+    keyed = lines.select("doc_id", "t", "part", "line", normal(F.col("raw")).alias("sentence")).select("doc_id", "t", "part", "line", *hashed(F.col("sentence")))
+    return keyed.join(sentences.select(*hashed(F.col("sentence")), "known"), ["h1", "h2"]).drop("h1", "h2").distinct()
 
 
 def license_matches(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 2) -> DataFrame:
