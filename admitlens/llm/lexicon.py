@@ -8,12 +8,14 @@ class FuzzyTrie:
 
     A state holds the trie nodes reachable by the letters so far with the fewest edits for each (the product of the trie
     and the Levenshtein automaton); its transitions are worked out when a word first needs them. A whole-word
-    term allows one edit from `one` letters on and two from `two`; a stem matches exact beginnings only.
+    term allows one edit from `one` letters on and two from `two`; a stem matches exact beginnings only. With `swaps` two
+    neighbouring letters in each other's place are one edit; until the second is read, the state holds (node behind both, second).
     """
 
     most_states = 100_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], one: int = 5, two: int = 8) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], one: int = 5, two: int = 8, swaps: bool = False) -> None:
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
         self.allowed: list[int] = [0]  # edits that the terms below a node may need
         self.ends: list[tuple[str, int, float] | None] = [None]
@@ -34,11 +36,13 @@ class FuzzyTrie:
         self.start = self._closed({0: 0})
         self.next: dict[tuple[frozenset, str], frozenset] = {}
 
-    def _closed(self, state: dict[int, int]) -> frozenset:
+    def _closed(self, state: dict[int | tuple[int, str], int]) -> frozenset:
         """With the nodes reached by letters that the word leaves out."""
         todo = list(state.items())
         while todo:
             node, edits = todo.pop()
+            if isinstance(node, tuple):
+                continue
             for child in self.children[node].values():
                 if edits + 1 <= self.allowed[child] and edits + 1 < state.get(child, 99):
                     state[child] = edits + 1
@@ -46,14 +50,21 @@ class FuzzyTrie:
         return frozenset(state.items())
 
     def _step(self, state: frozenset, ch: str) -> frozenset:
-        to: dict[int, int] = {}
+        to: dict[int | tuple[int, str], int] = {}
         for node, edits in state:
+            if isinstance(node, tuple):
+                if node[1] == ch and edits < to.get(node[0], 99):
+                    to[node[0]] = edits
+                continue
             if edits < self.allowed[node] and edits + 1 < to.get(node, 99):  # a letter too many
                 to[node] = edits + 1
             for letter, child in self.children[node].items():
                 cost = edits + (letter != ch)
                 if cost <= self.allowed[child] and cost < to.get(child, 99):
                     to[child] = cost
+                behind = self.children[child].get(ch) if self.swaps and letter != ch else None
+                if behind is not None and edits + 1 <= self.allowed[behind] and edits + 1 < to.get((behind, letter), 99):
+                    to[behind, letter] = edits + 1
         return self._closed(to)
 
     def find(self, word: str) -> tuple[float, int] | None:
@@ -69,7 +80,7 @@ class FuzzyTrie:
             state = to
             if not state:
                 break
-        found = [(edits, -self.ends[node][2]) for node, edits in state if self.ends[node] and edits <= self.ends[node][1]]
+        found = [(edits, -self.ends[node][2]) for node, edits in state if not isinstance(node, tuple) and self.ends[node] and edits <= self.ends[node][1]]
         if found:
             edits, weight = min(found)
             return -weight, edits

@@ -89,20 +89,34 @@ def learned_terms(rows: DataFrame, t: Toxicity) -> list[tuple[str, float]]:
     odds = F.log((F.col("x") + 0.5) / (bad - F.col("x") + 0.5)) - F.log((F.col("y") + 0.5) / (good - F.col("y") + 0.5))
     need = float(np.log(max(terms.count(), 1)) + 3)
     best = terms.filter(share >= t.precision).select("term", gain.alias("gain"), odds.alias("odds")).filter(F.col("gain") >= need)
-    return apart([(r.term, r.odds) for r in best.orderBy(F.desc("gain"), "term").limit(t.most_terms).collect()])
+    # words and stems by themselves: a word has up to five stems with counts no lower than its own
+    found = [best.filter(kind).orderBy(F.desc("gain"), "term").limit(t.most_terms).collect() for kind in (~F.endswith("term", F.lit("*")), F.endswith("term", F.lit("*")))]
+    return apart([(r.term, r.odds, r.gain) for rows in found for r in rows], need)[: t.most_terms]
 
 
-def apart(terms: list[tuple[str, float]]) -> list[tuple[str, float]]:
-    """Best terms first: without those that begin a better term, or that a better stem begins."""
+def apart(terms: list[tuple[str, float, float]], need: float) -> list[tuple[str, float]]:
+    """Best terms first, of (term, weight, gain): all words, and stems of which none begins another.
+
+    A stem whose gain is not greater than that of its best word by what a term needs gives way to that word as a stem.
+    """
+    terms = sorted(terms, key=lambda x: (-x[2], x[0]))
+    best: dict[str, tuple[str, float, float]] = {}
+    for word, *rest in terms:
+        for n in range(1, len(word) + 1 if word[-1] != "*" else 0):
+            best.setdefault(word[:n], (word, *rest))
     stems, begun, kept = set(), set(), []
-    for term, weight in terms:
-        word = term.rstrip("*")
-        if not (term != word and word in begun) and not any(word[:n] in stems for n in range(1, len(word) + 1)):
-            kept.append((term, weight))
-            begun.update(word[:n] for n in range(1, len(word) + 1))
-            if term != word:
-                stems.add(word)
-    return kept
+    for term, weight, gain in terms:
+        if term[-1] != "*":
+            kept.append((gain, term, weight))
+            continue
+        stem, other = term[:-1], best.get(term[:-1])
+        if other and gain < other[2] + need:
+            stem, weight, gain = other
+        if stem not in begun and not any(stem[:n] in stems for n in range(1, len(stem))):
+            kept.append((gain, stem + "*", weight))
+            begun.update(stem[:n] for n in range(1, len(stem) + 1))
+            stems.add(stem)
+    return [(term, weight) for _, term, weight in sorted(kept, key=lambda x: (-x[0], x[1]))]
 
 
 class Scorer:
@@ -111,7 +125,7 @@ class Scorer:
     limit = 500_000
 
     def __init__(self, terms: list[tuple[str, float]], window: int) -> None:
-        self.trie = FuzzyTrie({w: x for w, x in terms if w[-1] != "*"}, {w[:-1]: x for w, x in terms if w[-1] == "*"})
+        self.trie = FuzzyTrie({w: x for w, x in terms if w[-1] != "*"}, {w[:-1]: x for w, x in terms if w[-1] == "*"}, swaps=True)
         self.window, self.hits, self.known = window, [None], _Known(self)
 
     def look_up(self, raw: bytes) -> int:

@@ -50,3 +50,41 @@ def test_odd_rows(spark):
         rows = toxicity.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out is not None for r in rows)
     assert toxicity.toxicity_scores(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).count() == 0
+
+
+def swapped_distance(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_trie_with_swapped_letters():
+    r = random.Random(6)
+    terms = {"".join(r.choice("abc") for _ in range(r.randrange(2, 11))): r.random() for _ in range(40)}
+    trie = FuzzyTrie(terms, {}, swaps=True)
+    for _ in range(3000):
+        word = "".join(r.choice("abc") for _ in range(r.randrange(1, 12)))
+        fits = [(swapped_distance(word, t), -w) for t, w in terms.items() if swapped_distance(word, t) <= (len(t) >= 5) + (len(t) >= 8)]
+        assert trie.find(word) == ((-min(fits)[1], min(fits)[0]) if fits else None), word
+
+
+def test_words_stay_beside_stems():
+    terms = [("idi*", 7.0, 90.0), ("idio*", 7.0, 90.0), ("idiot", 7.0, 90.0), ("vul*", 5.0, 60.0), ("vulgar", 5.0, 30.0), ("vulpe", 4.0, 25.0)]
+    assert toxicity.apart(terms, 10.0) == [("idiot", 7.0), ("idiot*", 7.0), ("vul*", 5.0), ("vulgar", 5.0), ("vulpe", 4.0)]
+
+
+def test_misspelled_learned_terms_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    wrong = {"pathetic": "pahtetic", "worthless": "worhtless", "stupid": "sutpid", "idiot": "ldiot", "trash": "trsah", "moron": "morron"}
+    plain = docs.join(labels.filter("toxic = 0"), "doc_id").filter("text not like '%\"%' and length(text) > 100").orderBy("doc_id").limit(1).collect()[0].text.split()
+    texts = [plain, *(plain[:9] + [w] + plain[9:] for pair in wrong.items() for w in pair)]
+    made = spark.createDataFrame([(-1 - i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    rows = toxicity.toxicity_scores(docs.unionByName(made), labels).filter("doc_id < 0").collect()
+    score = {r.doc_id: r.score for r in rows}
+    for i, pair in enumerate(wrong.items()):
+        assert score[-1] < score[-3 - 2 * i] <= score[-2 - 2 * i], pair
