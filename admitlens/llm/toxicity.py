@@ -1,13 +1,14 @@
 """Toxicity scores: a learned lexicon, misspellings of its terms, and what stands around them.
 
 Terms (words and beginnings of words) come from the labelled training rows, with the weight of their log odds. Every word of a
-text runs through the lexicon's fuzzy trie. A hit counts as quoted if it stands in quotation marks or if a word of reporting or
+text runs through the lexicon's fuzzy trie. A hit counts as quoted if it stands in paired quotation marks or if a word of reporting or
 naming is near it. A logistic model over the hits, fitted on other training rows, turns them into a score.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,12 +24,14 @@ from admitlens.llm.common import text_of
 from admitlens.llm.lexicon import FuzzyTrie
 from admitlens.sources.stage import staged
 
-# Quotation marks, and words that report or name what somebody else says.
-QUOTES = "\"“”„«»‘’"
+# Quotation marks by what they pair with, and words that report or name what somebody else says.
+QUOTES = {**dict.fromkeys('"', 0), **dict.fromkeys("“”„", 1), **dict.fromkeys("«»", 2), **dict.fromkeys("‘’", 3)}
 REPORTING = frozenset("said says say called calls wrote writes quote quoted term word slur sagte sagt nannte wort dit dijo mot llamó palabra".split())
 
 FEATURES = ["strongest", "open_hits", "open_rate", "fuzzy_hits", "quoted_hits", "near_hits"]
 _WORD = re.compile(r"\w+")
+_BLANK_SEPARATED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_MARK = re.compile(f"[{''.join(QUOTES)}\n\r]")
 
 
 @dataclass(frozen=True)
@@ -119,6 +122,35 @@ def apart(terms: list[tuple[str, float, float]], need: float) -> list[tuple[str,
     return [(term, weight) for _, term, weight in sorted(kept, key=lambda x: (-x[0], x[1]))]
 
 
+def quoted_words(text: str, n: int) -> np.ndarray:
+    """Which of the `n` blank-separated words lie in quotation marks that open and close on one line; others are unbalanced.
+
+    A mark before a word opens, one behind a word closes, one with blanks around does either. Within a word it is none
+    (don’t). Of single marks only ‘ opens and only ’ closes: a leading ’ is an apostrophe.
+    """
+    inside = np.zeros(n, bool)
+    opened: dict[int, int] = {}
+    pairs = []
+    for found in _MARK.finditer(text):
+        mark, at = found[0], found.start()
+        if mark in "\n\r":
+            opened.clear()
+            continue
+        before, behind, kind = text[at - 1 : at] or " ", text[at + 1 : at + 2] or " ", QUOTES[mark]
+        alone = before.isspace() and behind.isspace()
+        closes = mark != "‘" and (alone or not (before.isspace() or _WORD.match(behind)))
+        opens = mark != "’" and (alone or not (behind.isspace() or _WORD.match(before)))
+        if closes and kind in opened:
+            pairs.append((opened.pop(kind), at))
+        elif opens:
+            opened[kind] = at
+    if pairs:
+        starts = [word.start() for word in _BLANK_SEPARATED.finditer(text)]
+        for first, last in pairs:
+            inside[bisect_right(starts, first) - 1 : bisect_right(starts, last)] = True
+    return inside
+
+
 class Scorer:
     """Features of a text; remembers the words it has looked up, up to a number of them."""
 
@@ -146,11 +178,7 @@ class Scorer:
         at = np.flatnonzero(numbers)
         if not len(at):
             return [0.0] * len(FEATURES)
-        inside, open_now = np.zeros(len(words), bool), False
-        for i, w in enumerate(words if any(ch in text for ch in QUOTES) else []):
-            marks = sum(ch in QUOTES for ch in w.decode("utf-8", "replace"))
-            inside[i] = open_now or marks > 0
-            open_now ^= marks % 2 == 1
+        inside = quoted_words(text, len(words))
         strongest, open_hits, fuzzy, quoted, near = 0.0, 0, 0, 0, 0
         for k, i in enumerate(at):
             weight, edits = self.hits[numbers[i]]

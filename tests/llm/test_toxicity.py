@@ -88,3 +88,12 @@ def test_misspelled_learned_terms_score(spark):
     score = {r.doc_id: r.score for r in rows}
     for i, pair in enumerate(wrong.items()):
         assert score[-1] < score[-3 - 2 * i] <= score[-2 - 2 * i], pair
+
+
+def test_quotations_end():
+    scorer = toxicity.Scorer([("idiot", 5.0)], 3)
+    quoted = ["“idiot”", "say („idiot“), yes", "« un idiot » la", "»so ein idiot«", "”idiot” det", 'he: "you don’t get it, idiot," and', "‘don’t be an idiot’ there", '"a" and "an idiot"', 'x "a b c idiot"']
+    plain = ["I don’t know, you idiot", 'one " mark\nyou idiot', 'a 5" pipe, you idiot', '"a" idiot "b"', "“open and\nyou idiot” now", "‘tis an idiot", "’tis the dogs’ idiot", '5" to 6" idiot 7"', "you idiot ‘x’", '"open you idiot "b"']
+    for text in quoted + plain:
+        got = dict(zip(toxicity.FEATURES, scorer.features(text)))
+        assert (got["quoted_hits"] > 0) == (text in quoted) and (got["strongest"] > 0) == (text in plain), text
