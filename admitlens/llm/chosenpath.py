@@ -5,7 +5,7 @@ buckets by sampled tokens: a bucket with more than `leaf` sets is split again by
 bucket, one always and a second with probability 1/threshold - 1, so that a pair at the threshold is
 expected to stay together in one branch at every depth. Buckets that are small enough, or as deep as
 allowed, are compared by brute force, large ones in pairs of blocks. Runs are repeated until a pair
-at the threshold is missed with less than 1 - recall. Candidates are then held against their whole shingle sets.
+at the threshold is missed with less than 1 - recall, over all signatures it may have. Candidates are then held against their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -45,12 +45,27 @@ class ChosenPath:
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair at the threshold has met in a bucket of full depth with probability `recall`."""
+        """Runs after which a pair at the threshold has met in a bucket of full depth, and is a candidate, with probability `recall`.
+
+        All runs draw from one signature, so the number of its equal tokens is drawn once for all runs.
+        """
+        equal = [math.comb(self.tokens, n) * self.threshold**n * (1 - self.threshold) ** (self.tokens - n) for n in range(self.tokens + 1)]
+        least = max(1, self.least_equal)
+        never = sum(equal[:least])
+        if never >= 1 - self.recall:
+            raise ValueError("recall needs more tokens or deviations")
+        lost, runs = [self._lost(n / self.tokens) for n in range(self.tokens + 1)], 1
+        while never + sum(equal[n] * lost[n] ** runs for n in range(least, self.tokens + 1)) > 1 - self.recall:
+            runs += 1
+        return runs
+
+    def _lost(self, share: float) -> float:
+        """Probability that a run parts a pair with this share of equal tokens."""
         lost = 0.0
         for _ in range(self.depth):
-            one = 1 - self.threshold + self.threshold * lost
+            one = 1 - share + share * lost
             lost = one * (1 - self.second + self.second * one)
-        return math.ceil(math.log(1 - self.recall) / math.log(lost))
+        return lost
 
     @property
     def least_equal(self) -> int:
@@ -101,7 +116,10 @@ def _compared(p: ChosenPath):
             linked = (same >= least) & (np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n))
             np.fill_diagonal(linked, False)
             root = roots(linked)
-            at = np.flatnonzero(root != np.arange(len(root)))
+            joined = root != np.arange(len(root))
+            if unit["i"][0] != unit["j"][0]:  # what links within a block join is another unit's: one row for each such part
+                joined &= roots(linked & (unit["b"][:, None] == unit["b"][None, :])) == np.arange(len(root))
+            at = np.flatnonzero(joined)
             if len(at):
                 yield pd.DataFrame({"u": c[at], "v": c[root[at]]})
 
@@ -174,7 +192,7 @@ def near_duplicates(docs: DataFrame, p: ChosenPath = ChosenPath()) -> tuple[Data
 
     leaves = _leaves(nodes.filter("sig IS NOT NULL"), p)
     met = block_pairs(leaves, "path", "c", "n", p.leaf).join(nodes.select("c", "m", "sig"), "c")
-    stars = side_by_side(met.select("path", "i", "j", "c", "m", "sig"), ["path", "i", "j"]).mapInPandas(_compared(p), "u long, v long")
+    stars = side_by_side(met.select("path", "i", "j", "b", "c", "m", "sig"), ["path", "i", "j"]).mapInPandas(_compared(p), "u long, v long")
     found = staged(components(stars, "u", "v"))  # clusters of candidates
 
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))

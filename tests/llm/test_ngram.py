@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from admitlens.llm import chosenpath
 
 LAST = (1 << 63) - 1
@@ -60,3 +63,18 @@ def test_odd_rows_and_a_large_group(spark):
     want = {(a, t) for a, t, *_ in kept.collect()}
     assert {a for a, _ in want} == {0, 1000, 5000, 5001, 5003, None}
     assert got(docs.limit(0)) == []
+
+
+def test_runs_of_one_signature_keep_the_recall():
+    p, r, rounds = chosenpath.ChosenPath(), np.random.default_rng(8), 400_000
+    equal = r.binomial(p.tokens, p.threshold, rounds)
+    share, missed = equal / p.tokens, np.ones(rounds)
+    parted = np.zeros(rounds)
+    for _ in range(p.depth):
+        one = 1 - share + share * parted
+        parted = one * (1 - p.second) + one**2 * p.second
+    met = equal >= p.least_equal
+    missed[met] = parted[met] ** p.runs
+    assert missed.mean() <= 1.1 * (1 - p.recall)
+    with pytest.raises(ValueError):
+        chosenpath.ChosenPath(tokens=4).runs
