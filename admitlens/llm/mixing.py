@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from admitlens.llm.common import let, n_buckets, text_of
 from admitlens.sources.stage import staged
@@ -36,12 +37,20 @@ class Mix:
 def sized_units(docs: DataFrame, m: Mix) -> DataFrame:
     """doc_id, source, size (words), h (random order) and the number of equal rows."""
     size = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), _order(m).alias("h"))
+    rows = docs.select("doc_id", "source", size.alias("size"), _order(docs, m).alias("h"))
     return rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _order(m: Mix) -> Column:
-    return F.xxhash64(F.lit(m.seed), "doc_id", "source", text_of())
+def _order(docs: DataFrame, m: Mix) -> Column:
+    """A hash of the whole row, so that only rows equal in all columns are one; nulls, which a hash leaves out, are marked."""
+    others = []
+    for f in docs.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if f.name not in ("doc_id", "source", "text"):
+            nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+            others.append(F.to_json(F.struct(c), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) if nested else c)
+        others.append(c.isNull())
+    return F.xxhash64(F.lit(m.seed), "doc_id", "source", text_of(), *others)
 
 
 def targets(units: DataFrame, m: Mix) -> DataFrame:
@@ -186,7 +195,7 @@ def mixed(docs: DataFrame, m: Mix = Mix(), slices: int = 16) -> DataFrame:
     """
     plan = draws(docs, m).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("taken")).alias("taken"), F.count(F.lit(1)).alias("times"))
     plan = staged(plan.filter(F.size("taken") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "h", "taken", "times"))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), _order(m).alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), _order(docs, m).alias("h"))
     single = rows.join(plan.filter("times = 1"), ["id", "h"]).select("row", "taken")
     if not plan.filter("times > 1").isEmpty():  # equal rows share one entry: it goes to one of them
         several = rows.join(plan.filter("times > 1"), ["id", "h"]).dropDuplicates(["id", "h"])

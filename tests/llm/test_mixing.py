@@ -92,3 +92,9 @@ def test_draws_follow_the_distribution(spark):
     mean = sum(got) / n
     variance = sum((x - mean) ** 2 for x in got) / n
     assert abs(mean - 4) < 0.1 and abs(variance - 10 * 0.4 * 0.6 * 20 / 29) < 0.15 and 0 <= min(got) and max(got) <= 10
+
+
+def test_rows_that_differ_in_other_columns_stay_apart(spark):
+    rows = [(i, f"w x{i}", "a", *other) for i in range(20) for other in (("de", None), (None, "de"), ("fr", "de"), ("fr", "de"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, more string")
+    assert Counter(map(tuple, mixing.mixed(docs).collect())) == Counter(rows)
