@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, licenses, linedup, mixing, packing, pqlinks, quality, sharding, suffixes, toxicity
+from admitlens.llm import chosenpath, licenses, linedup, mixing, packing, pqlinks, quality, sharding, suffixes, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -159,3 +159,9 @@ def embedding_pq(vectors: DataFrame) -> DataFrame:
 @_query("op9_best_fit_packing")
 def best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op13_embedding_whitening", "embeddings")
+def embedding_whitening(vectors: DataFrame) -> DataFrame:
+    out = whitening.whitened_embeddings(vectors)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
