@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chosenpath, decontaminate, licenses, linedup, mixing, packing, pqlinks, quality, sharding, suffixes, toxicity, whitening
+from admitlens.llm import chosenpath, decontaminate, licenses, linedup, mixing, packing, pqlinks, prefixtrie, quality, sharding, suffixes, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -186,3 +186,35 @@ def benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFram
     found = decontaminate.contamination(docs, benchmark)
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295)"""
+
+
+@_query("op12_conversation_trie", "conversations", sql=f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.head AND i <= h
+  UNION ALL SELECT c.conv_id, i + 1000000000, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i > h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+prefixes AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+members AS (SELECT conv_id, d, s[1:d] AS p, d = len(s) AS ends FROM prefixes),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS own
+  FROM members GROUP BY d, p),
+families AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN families f ON f.p = n.p),
+sums AS (
+  SELECT q, sum((k = 0)::INTEGER)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved
+  FROM (SELECT p[1:a] AS q, k, own FROM (SELECT p, k, own, unnest(range(0, d + 1)) AS a FROM sized)) GROUP BY q)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, n.k::BIGINT AS n_children, n_leaves, saved AS saved_tokens, n.ends_sha256
+FROM sized n JOIN sums ON q = n.p LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]""")
+def conversation_trie(turns: DataFrame) -> DataFrame:
+    return prefixtrie.prefix_nodes(turns)
