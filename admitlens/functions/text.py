@@ -16,7 +16,7 @@ HALF_WIDTH = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TRUE_WORDS = ["1", "true", "True", "TRUE", "是", "有", "Y", "yes"]
 
 # Unicode white space: Java needs (?U) to see U+3000, and the four C0 separators by hand.
-_SPACE = r"(?U)[\s\x1c-\x1f]"
+WHITE = r"(?U)[\s\x1c-\x1f]"
 
 
 def missing_to_null(c: Column) -> Column:
@@ -25,7 +25,7 @@ def missing_to_null(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{_SPACE}+\z|\A{_SPACE}+", "")
+    return F.regexp_replace(c, rf"{WHITE}+\z|\A{WHITE}+", "")
 
 
 def strip_or_null(c: Column) -> Column:
@@ -178,7 +178,7 @@ def best_chunk(text: Column, keywords: Column, size: int = 520, overlap: int = 8
 
 def squeezed(c: Column) -> Column:
     """Every run of white space becomes one blank; the ends stay."""
-    return F.regexp_replace(c, rf"{_SPACE}+", " ")
+    return F.regexp_replace(c, rf"{WHITE}+", " ")
 
 
 def snippet(c: Column, limit: int = 220) -> Column:
@@ -194,7 +194,7 @@ def file_matches(file_name: Column, school: Column, major: Column, year: Column)
     """A file belongs to a candidate by school name, or by major (and year, when one is given)."""
 
     def squeeze(c: Column) -> Column:
-        return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), rf"{_SPACE}+", "")
+        return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), rf"{WHITE}+", "")
 
     name, s, m, y = squeeze(file_name), squeeze(school), squeeze(major), squeeze(year)
     by_school = (s != "") & name.contains(s)

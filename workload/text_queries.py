@@ -228,30 +228,70 @@ def evidence_items(v: Views) -> DataFrame:
     words = F.array_distinct(F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) >= 8))
     return v.table("benchmark").select(
         "item_id", (F.col("item_id") % 20).alias("university_id"), (F.lit(1995) + F.col("item_id") % 7).cast("int").alias("target_year"),
+        F.concat(F.lit("src"), F.col("item_id") % 20).alias("university_name"), F.concat(F.lit("major"), F.col("item_id") % 13).alias("major_name"),
         words.alias("keywords"), F.lit(70.0).alias("recommend_score"), F.lit(92.0).alias("data_quality_score"), F.array().cast("array<string>").alias("warnings"),
     )
 
 
-HITS = f"""WITH items AS (SELECT item_id, item_id % 20 AS university_id, 1995 + item_id % 7 AS target_year,
-    list_distinct(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: length(w) >= 8)) AS kw FROM benchmark),
-  docs AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS university_id, CASE WHEN doc_id % 5 <> 0 THEN 1995 + doc_id % 7 END AS year,
-    regexp_replace(text, '{SPACE}+', ' ', 'g') AS t FROM documents),
-  pairs AS (SELECT i.*, d.doc_id, d.year, d.t FROM items i JOIN docs d ON d.university_id = i.university_id AND (d.year IS NULL OR d.year BETWEEN i.target_year - 1 AND i.target_year)),
-  pieces AS (SELECT item_id, doc_id, year, kw, s, substr(t, s + 1, 520) AS chunk
+ITEMS = """items AS (SELECT item_id, item_id % 20 AS university_id, 1995 + item_id % 7 AS target_year, 'src' || item_id % 20 AS school, 'major' || item_id % 13 AS major,
+    list_distinct(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: length(w) >= 8)) AS kw FROM benchmark)"""
+DOCS = f"""docs AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS university_id, CASE WHEN doc_id % 5 <> 0 THEN 1995 + doc_id % 7 END AS year,
+    'src' || n_chars % 23 || 'major' || doc_id % 17 || (1995 + n_chars % 7) || '.pdf' AS file, regexp_replace(text, '{SPACE}+', ' ', 'g') AS t FROM documents)"""
+REGISTERED = """SELECT i.item_id, d.doc_id, 0 AS list, -coalesce(d.year, -1) AS by_year, -d.doc_id AS by_id FROM items i
+    JOIN docs d ON d.university_id = i.university_id AND (d.year IS NULL OR d.year BETWEEN i.target_year - 1 AND i.target_year)"""
+NAMED = """SELECT i.item_id, d.doc_id, 1, 0, d.doc_id FROM items i JOIN docs d ON contains(file, school) OR contains(file, major) AND contains(file, target_year::VARCHAR)"""
+
+
+def hits_sql(pairs: str) -> str:
+    """The best three documents of each item among (item_id, doc_id, list, by_year, by_id)."""
+    return f"""WITH {ITEMS}, {DOCS}, listed AS ({pairs}),
+  pairs AS (SELECT l.*, kw, t FROM (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY list) = 1) l JOIN items USING (item_id) JOIN docs USING (doc_id)),
+  pieces AS (SELECT item_id, doc_id, list, by_year, by_id, kw, s, substr(t, s + 1, 520) AS chunk
     FROM (SELECT *, unnest(range(0, CASE WHEN length(t) <= 520 THEN 1 ELSE length(t) END, 440)) AS s FROM pairs)),
   scored AS (SELECT *, coalesce(list_sum(list_transform(kw, lambda k: (length(chunk) - length(replace(chunk, k, ''))) // length(k))), 0) AS score FROM pieces),
   best AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, s) = 1),
-  top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, coalesce(year, -1) DESC, doc_id DESC) AS position FROM best QUALIFY position <= 3),
+  top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, list, by_year, by_id) AS position FROM best QUALIFY position <= 3),
   hits AS (SELECT *, CASE WHEN length(trim(chunk)) <= 220 THEN trim(chunk) ELSE substr(trim(chunk), 1, 219) || '…' END AS snippet FROM top)"""
 
 
-@query("evidence_topk", "X10 F U7", HITS + " SELECT item_id, doc_id, position, CAST(score AS INTEGER) AS score, snippet FROM hits")
-def evidence_topk(v: Views) -> DataFrame:
-    out = evidence.attach_evidence(evidence_items(v), evidence_documents(v), doc_limit=None)
+HITS = hits_sql(REGISTERED)
+TOP_HITS = " SELECT item_id, doc_id, position, CAST(score AS INTEGER) AS score, snippet FROM hits"
+
+
+def named_files(v: Views) -> DataFrame:
+    """Files outside the register, under the same paths."""
+    chars = F.col("n_chars")
+    name = F.concat(F.lit("src"), chars % 23, F.lit(" major"), F.col("doc_id") % 17, F.lit(" "), chars % 7 + 1995, F.lit(".pdf"))
+    return v.table("documents").select(F.col("doc_id").alias("id"), name.alias("file_name"), F.concat(F.lit("/DOCS/"), F.col("doc_id")).alias("path"), "text")
+
+
+def top_hits(out: DataFrame) -> DataFrame:
     rows = out.select("item_id", F.explode("local_hits").alias("h"))
     return rows.select("item_id", "h.doc_id", F.col("h._pos").alias("position"), "h.score", "h.snippet")
 
 
+@query("evidence_topk", "X10 C33 C34", HITS + TOP_HITS)
+def evidence_topk(v: Views) -> DataFrame:
+    return top_hits(evidence.attach_evidence(evidence_items(v), evidence_documents(v)))
+
+
+@query("evidence_files", "X10 U7 C36", hits_sql(f"{REGISTERED} UNION ALL {NAMED}") + TOP_HITS)
+def evidence_files(v: Views) -> DataFrame:
+    """Registered documents and files by name, without limits."""
+    return top_hits(evidence.attach_evidence(evidence_items(v), evidence_documents(v), files=named_files(v)))
+
+
+@query(
+    "evidence_merged", "X10 U7 C36",
+    hits_sql(f"""SELECT * FROM (
+      SELECT * FROM (SELECT * FROM (SELECT * FROM ({REGISTERED}) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY by_year, by_id) <= 20) UNION ALL {NAMED})
+      QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY list) = 1) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY list, by_year, by_id) <= 50""") + TOP_HITS,
+)
+def evidence_merged(v: Views) -> DataFrame:
+    """The newest 20 registered documents, then files by name, 50 together."""
+    return top_hits(evidence.attach_evidence(evidence_items(v), evidence_documents(v), files=named_files(v), doc_limit=20, list_limit=50))
+
+
 @query(
     "evidence_scores", "X10 C37 C38",
     HITS + """ SELECT i.item_id, least(5.0, 2.0 * coalesce(n, 0)) AS agent_adjustment_score, CASE WHEN n > 0 THEN 'medium' ELSE 'unknown' END AS source_confidence,
