@@ -2,8 +2,10 @@
 
 A partial partition is one sum of bytes per shard. Differencing repeatedly takes the two partial partitions with the largest
 spread and adds the largest sums of one to the smallest of the other. Groups are dealt to buckets of bounded size, each bucket is
-differenced to one partial partition in a task of its own, and those are differenced in turn, so many at a time, until one is
-left; then the renamings of shards are followed back down to the groups.
+differenced to one partial partition in a task of its own, and those are differenced in turn, so many at a time, until few are
+left. A bounded number of the largest and of the smallest groups stays out of the buckets: they enter the last differencing one by
+one, the large ones before what they unbalance is settled, the small ones to even out what is left. Then the renamings of shards are followed
+back down to the groups.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from admitlens.sources.stage import staged
 
 @dataclass(frozen=True)
 class Sharding:
-    """Number of shards, bytes added per row, groups in a bucket, and partial partitions combined at a time."""
+    """Number of shards, bytes added per row, groups in a bucket, partial partitions combined at a time, and how many of the largest and
+    of the smallest groups enter the last differencing singly."""
 
     shards: int = 40
     overhead: int = 16
     bucket: int = 2048
     fan_in: int = 64
+    single: int = 1024
 
 
 def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,29 +94,57 @@ def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(to=to.astype(np.int32).tolist(), sums=[total.tolist(), *[None] * (len(out) - 1)])
 
 
+def _last(shards: int):
+    """(parent, bucket, h1, h2, bytes, sums) of the partial partitions and single groups -> the renaming of each one's shards."""
+
+    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit in units(batches, ["parent"]):
+            n = len(unit["bytes"])
+            sums = np.zeros((n, shards), np.int64)
+            sums[:, 0] = unit["bytes"]
+            for k in np.flatnonzero(unit["bucket"] >= 0):
+                sums[k] = unit["sums"][k]
+            _, to = differenced(sums)
+            yield pd.DataFrame({k: unit[k] for k in ("bucket", "h1", "h2")}).assign(to=to.astype(np.int32).tolist())
+
+    return difference
+
+
+def _apart(groups: DataFrame, n: int) -> DataFrame:
+    """The groups with a column `single`: among the n largest or the n smallest. 2 n rows come to the driver."""
+    order = F.struct("bytes", "h1", "h2")
+    large = groups.orderBy(order.desc()).limit(n).agg(F.min(order).alias("end")).first()["end"]
+    small = groups.orderBy(order).limit(n).agg(F.max(order).alias("end")).first()["end"]
+    if large is None or small >= large:
+        return groups.withColumn("single", F.lit(True))
+    bound = lambda r: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(("bytes", "h1", "h2"), r)])
+    return groups.withColumn("single", (order >= bound(large)) | (order <= bound(small)))
+
+
 def group_shards(groups: DataFrame, n_groups: int, s: Sharding) -> DataFrame:
     """(h1, h2, shard) for groups (h1, h2, bytes); h1 and h2 name a group."""
-    buckets = max(1, math.ceil(n_groups / s.bucket))
-    keyed = groups.select(F.pmod("h2", F.lit(buckets)).cast("int").alias("bucket"), "h1", "h2", "bytes")
+    groups = _apart(groups.select("h1", "h2", "bytes"), s.single)
+    buckets = max(1, math.ceil((n_groups - 2 * s.single) / s.bucket))
+    keyed = groups.filter("NOT single").select(F.pmod("h2", F.lit(buckets)).cast("int").alias("bucket"), "h1", "h2", "bytes")
     sorted_ = keyed.repartition("bucket").sortWithinPartitions("bucket", "h1", "h2")
     leaves = staged(sorted_.mapInPandas(_leaf(s.shards), "bucket int, h1 long, h2 long, local int, sums array<long>"))
     partial, levels = leaves.filter("sums IS NOT NULL").select("bucket", "sums"), []
-    while buckets > 1:
+    while buckets > s.fan_in:
         buckets = math.ceil(buckets / s.fan_in)
         parents = partial.select(F.pmod("bucket", F.lit(buckets)).cast("int").alias("parent"), "bucket", "sums")
         level = staged(parents.repartition("parent").sortWithinPartitions("parent", "bucket").mapInPandas(_inner, "parent int, bucket int, to array<int>, sums array<long>"))
         levels.append(level.select("parent", "bucket", "to"))
         partial = level.filter("sums IS NOT NULL").select(F.col("parent").alias("bucket"), "sums")
-    names = None  # (bucket, final): final shard of each shard of a bucket
+    parent, zero = F.lit(0).alias("parent"), F.lit(0).cast("long")
+    alone = groups.filter("single").select(parent, F.lit(-1).alias("bucket"), "h1", "h2", "bytes", F.array().cast("array<long>").alias("sums"))
+    top = partial.select(parent, "bucket", zero.alias("h1"), zero.alias("h2"), zero.alias("bytes"), "sums").union(alone)
+    last = staged(top.repartition(1).sortWithinPartitions("bucket", "h1", "h2").mapInPandas(_last(s.shards), "bucket int, h1 long, h2 long, to array<int>"))
+    names = last.filter("bucket >= 0").select("bucket", F.col("to").alias("final"))  # final shard of each shard of a bucket
     for level in reversed(levels):
-        if names is None:
-            names = level.select("bucket", F.col("to").alias("final"))
-        else:
-            up = names.withColumnRenamed("bucket", "parent")
-            names = level.join(up, "parent").select("bucket", F.transform("to", lambda x: F.get(F.col("final"), x)).alias("final"))
-    if names is None:
-        return leaves.select("h1", "h2", F.col("local").alias("shard"))
-    return leaves.join(staged(names), "bucket").select("h1", "h2", F.get("final", F.col("local")).alias("shard"))
+        up = names.withColumnRenamed("bucket", "parent")
+        names = level.join(up, "parent").select("bucket", F.transform("to", lambda x: F.get(F.col("final"), x)).alias("final"))
+    dealt = leaves.join(staged(names), "bucket").select("h1", "h2", F.get("final", F.col("local")).alias("shard"))
+    return dealt.union(last.filter("bucket < 0").select("h1", "h2", F.get("to", F.lit(0)).alias("shard")))
 
 
 def shards_of(docs: DataFrame, s: Sharding = Sharding()) -> DataFrame:
