@@ -78,16 +78,19 @@ def substring_matches(needles: DataFrame, needle: str, haystacks: DataFrame, hay
 
 
 def band_history(
-    rows: DataFrame, keys: Sequence[str], year: str, target: str, span: int, payload: Sequence[str], name: str
+    rows: DataFrame, keys: Sequence[str], year: str, target: str, span: int, payload: Sequence[str], name: str, wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Per (keys, target year): ordered array of the rows of the last `span` years up to the target.
 
-    A row of year y belongs to the targets y .. y+span-1, so the band becomes an equality.
-    The rows are unique per key and year by their grain, so arrays stay short.
+    With `wanted`, distinct keys and targets, only for these: rows are joined on their keys. Else for all targets: a row of year y belongs
+    to the targets y .. y+span-1, so the band becomes an equality.
     """
-    spread = rows.withColumn(target, F.explode(F.sequence(F.col(year), F.col(year) + (span - 1))))
+    if wanted is None:
+        met = rows.withColumn(target, F.explode(F.sequence(F.col(year), F.col(year) + (span - 1))))
+    else:
+        met = rows.join(wanted, list(keys)).filter(F.col(year).between(F.col(target) - (span - 1), F.col(target)))
     item = F.struct(F.col(year).alias("year"), *payload)
-    return spread.groupBy(*keys, target).agg(F.sort_array(F.collect_list(item)).alias(name))
+    return met.groupBy(*keys, target).agg(F.sort_array(F.collect_list(item)).alias(name))
 
 
 def first_theta_match(

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admitlens.functions.scoring import match_score, subject_targets
-from admitlens.operators.candidates import Filter, attach, ranked_candidates
+from admitlens.operators.candidates import Filter, attach, candidates
 from admitlens.operators.joins import first_theta_match
 from admitlens.operators.keyed import top_n
 from admitlens.rules import MATCH_LIMITS
 
 # The three groups (reach, match, safety).
 GROUPS = ["chong", "wen", "bao"]
-MAX_LINES = 200
 
 MATCH_FILTERS = [
     Filter("major_category", ("major_category",)),
@@ -36,16 +35,22 @@ def recent_lines(lines: DataFrame, universities: DataFrame, majors: DataFrame, s
     return used.join(u, "university_id").join(m, "major_id")
 
 
+ORDER = [("total_score_line", "desc"), ("score_line_id", "asc")]
+
+
 def school_candidates(
-    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int = MAX_LINES,
+    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(applicants with their profile, per profile one line per school with the school's subject level).
 
-    The best 200 lines of a profile count; a school keeps its highest one.
+    A school keeps its highest line, of the best `max_lines` of the profile or of all.
     """
-    order = [F.col("total_score_line").desc(), F.col("score_line_id")]
-    asked, top = ranked_candidates(applicants, lines, MATCH_FILTERS, [], order, max_lines)
-    schools = top_n(top, ["_profile", "university_id"], [F.col("_rank")])
+    if max_lines is None:
+        met = candidates(applicants, lines, MATCH_FILTERS, [], ORDER, ["university_id"])
+        asked, schools = met.asked, met.best(1, lines.columns)
+    else:
+        met = candidates(applicants, lines, MATCH_FILTERS, [], ORDER)
+        asked, schools = met.asked, top_n(met.best(max_lines, lines.columns), ["_profile", "university_id"], [F.col("_rank")])
     start = F.coalesce(F.substring("major_name", 1, 4), F.lit(""))
     r = rates.select("university_id", F.col("id").alias("_rate_id"), "subject_name", F.col("level_rate").alias("subject_level"))
     rated = first_theta_match(
@@ -56,7 +61,7 @@ def school_candidates(
 
 
 def match_schools(
-    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int = MAX_LINES, keep: Sequence[str] = ("applicant_id",),
+    applicants: DataFrame, lines: DataFrame, rates: DataFrame, max_lines: int | None = None, keep: Sequence[str] = ("applicant_id",),
 ) -> DataFrame:
     """Reach, match and safety schools per applicant; how many of each depends on the risk preference."""
     asked, schools = school_candidates(applicants, lines, rates, max_lines)
@@ -71,7 +76,7 @@ def match_schools(
     rows = rows.filter(F.col("rank_group").isNotNull())
     signed = F.when(F.col("rank_group") == "chong", -F.col("score_diff")).otherwise(F.col("score_diff"))
     most = max(max(v) for v in MATCH_LIMITS.values())
-    ranked = top_n(rows, [*keep, "rank_group"], [signed, F.col("_rank")], most, rank="position")
+    ranked = top_n(rows, [*keep, "rank_group"], [signed, F.col("score_line_id")], most, rank="position")
     allowed = F.coalesce(
         *[
             F.when((F.col("risk_preference") == p) & (F.col("rank_group") == g), F.lit(n))

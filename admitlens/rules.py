@@ -27,16 +27,20 @@ class Rules:
     selective_levels: tuple[str, ...] = ("985", "211", "双一流")
     short_history_penalty: int = 8
     missing_plan_penalty: int = 5
-    max_candidates: int = 300
+    max_candidates: int | None = None
     bucket_limit: int = 5
     max_bucket_limit: int = 20
-    max_lines: int = 50
+    max_lines: int | None = None
     shown_lines: int = 10
     history_years: int = 3
 
 
 RULES = Rules()
 
+# How many lines an online request looks at (candidates, evaluation, matching). The library's own default is all.
+REQUEST_LIMITS = {"max_candidates": 300, "max_lines": 50}
+MATCH_REQUEST_LINES = 200
+
 TIERS = ["rush", "stable", "safe"]
 TIER_LABELS = {"rush": "冲刺", "stable": "稳妥", "safe": "保底"}
 REPORT_TIER_LABELS = {"rush": "冲刺档", "stable": "稳妥档", "safe": "保底档"}

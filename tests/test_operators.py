@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from admitlens.operators import joins, keyed, quality
-from admitlens.operators.candidates import Filter, attach, ranked_candidates
+from admitlens.operators.candidates import Filter, attach, candidates
 from admitlens.sources import sinks
 
 
@@ -127,11 +127,11 @@ def test_candidates_equal_brute_force(spark):
     filters = [Filter("prov", ("lprov",)), Filter("name", ("lname",), "contains"), Filter("levels", ("llevel",), "any_contains"), Filter("cat", ("lc1", "lc2"), "either")]
     ldf = spark.createDataFrame(lines, "lid int, lyear int, lprov string, lname string, llevel string, lc1 string, lc2 string, total int")
     rdf = spark.createDataFrame(reqs, "rid int, year int, prov string, name string, levels array<string>, cat string")
-    order = [F.col("total").desc(), F.col("lid")]
-    asked, top = ranked_candidates(rdf, ldf, filters, [("year", "lyear")], order, 7, overrides={"cat": ("name",)})
-    got = {}
-    for r in attach(asked.select("rid", "_profile"), top, ["rid"]).collect():
-        got.setdefault(r.rid, []).append((r._rank, r.lid))
+    met = candidates(rdf, ldf, filters, [("year", "lyear")], [("total", "desc"), ("lid", "asc")], overrides={"cat": ("name",)})
+    got, every = {}, {}
+    for limit, out in ((7, got), (None, every)):
+        for r in attach(met.asked.select("rid", "_profile"), met.best(limit, ["lid"]), ["rid"]).collect():
+            out.setdefault(r.rid, []).append((r._rank, r.lid))
     for rid, year, prov, name, levels, cat in reqs:
         ok = [
             x for x in lines
@@ -140,6 +140,7 @@ def test_candidates_equal_brute_force(spark):
         ]
         ok.sort(key=lambda x: (-x[7], x[0]))
         assert sorted(got.get(rid, [])) == [(k, x[0]) for k, x in enumerate(ok[:7], start=1)]
+        assert sorted(every.get(rid, [])) == [(k, x[0]) for k, x in enumerate(ok, start=1)]
 
 
 def test_upsert_with_repeated_source_keys(spark):
