@@ -42,9 +42,14 @@ def clean_text(c: Column) -> Column:
     return missing_to_null(collapse_space(F.translate(c, FULL_WIDTH, HALF_WIDTH)))
 
 
+def number_in(c: Column) -> Column:
+    """The first signed run of digits of a cleaned text."""
+    return F.regexp_extract(c, r"-?\d+", 0).try_cast("bigint")
+
+
 def first_int(c: Column) -> Column:
     """The first signed run of digits in the text ("about 12 people" -> 12)."""
-    return F.regexp_extract(clean_text(c), r"-?\d+", 0).try_cast("bigint")
+    return number_in(clean_text(c))
 
 
 def strict_int(c: Column) -> Column:
@@ -66,8 +71,13 @@ def int_or_last(c: Column, last: int = 999999999) -> Column:
     return F.coalesce(first_int(c), F.lit(last).cast("bigint"))
 
 
+def is_yes(c: Column) -> Column:
+    """1 for a cleaned text that means "yes", else 0."""
+    return F.when(c.isin(TRUE_WORDS), F.lit(1)).otherwise(F.lit(0))
+
+
 def bool_int(c: Column) -> Column:
-    return F.when(clean_text(c).isin(TRUE_WORDS), F.lit(1)).otherwise(F.lit(0))
+    return is_yes(clean_text(c))
 
 
 def clean_html(c: Column) -> Column:

@@ -101,42 +101,42 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def consecutive_ids(
-    df: DataFrame, stage: str, position: str, tie: Sequence[str], name: str, bucket_rows: int = 1_000_000
-) -> DataFrame:
+def with_offsets(rows: DataFrame, name: str, start: int) -> DataFrame:
+    """Number staged rows from `start` by (`_part`, `_pos`), where positions of a part have no gaps.
+
+    The offsets of the parts are broadcast: there is one row per task that wrote the table, however many rows it has.
+    """
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    joined = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    return joined.withColumn(name, F.col("_off") + F.col("_pos") + start).drop("_part", "_pos", "_p", "_off")
+
+
+def with_places(df: DataFrame) -> DataFrame:
+    """`_part` and `_pos`: the task that holds a row, and the row's number there. Stage the result before it is used twice."""
+    base = df.withColumn("_mid", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_mid", 33)
+    return base.withColumn("_part", part).withColumn("_pos", F.col("_mid") - F.shiftleft(part, 33)).drop("_mid")
+
+
+def consecutive_ids(df: DataFrame, stage: str, position: str, tie: Sequence[str], name: str) -> DataFrame:
     """1..n in the order (stage, position, tie) without sorting everything in one task.
 
-    `position` is a long; buckets are ranges of it, as many as make `bucket_rows` rows on average however far apart
-    the positions lie. The bucket table gives the offsets. The input is computed once.
+    Rows are dealt by ranges of that order, as Spark samples it, so neither gaps nor clusters of positions matter; a task's
+    rows are numbered behind those of the tasks before it.
     """
-    rows, at = staged(df), F.coalesce(F.col(position), F.lit(0))
-    count, low, high = rows.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-count // bucket_rows))))
-    bucketed = rows.withColumn("_bucket", F.floor((at - F.lit(low or 0)) / width))
-    sizes = bucketed.groupBy(stage, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(stage, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col(stage).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
-    )
-    inside = Window.partitionBy(stage, "_bucket").orderBy(position, *tie)
-    ranked = bucketed.withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(offsets, (F.col(stage) == F.col("_s")) & (F.col("_bucket") == F.col("_b")), "inner")
-    return joined.withColumn(name, F.col("_off") + F.col("_rn")).drop("_bucket", "_s", "_b", "_off", "_rn")
+    order = [F.col(c) for c in (stage, position, *tie)]
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return with_offsets(staged(with_places(ranges)), name, 1)
 
 
 def numbered_lines(df: DataFrame, name: str = "_line_no", start: int = 2) -> DataFrame:
     """File-order line numbers for a freshly read file source.
 
-    Position inside a task comes from `monotonically_increasing_id`; one count per task gives the offsets.
+    Position inside a task comes from `monotonically_increasing_id`; one count per task gives the offsets. The file is read twice.
     """
-    base = df.withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_mid", 33)
-    tagged = base.withColumn("_part", part).withColumn("_pos", F.col("_mid") - F.shiftleft(part, 33))
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = tagged.join(offsets, F.col("_part") == F.col("_p"))
-    return joined.withColumn(name, F.col("_off") + F.col("_pos") + start).drop("_mid", "_part", "_pos", "_p", "_off")
+    return with_offsets(with_places(df), name, start)
 
 
 def new_key_ids(df: DataFrame, known: DataFrame, keys: Sequence[str], line: str, name: str) -> DataFrame:

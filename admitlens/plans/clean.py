@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitlens import schemas
 from admitlens.functions.codes import line_type_std
-from admitlens.functions.text import bool_int, clean_text, composite_key, first_int, int_or_last, joined_key, strip
+from admitlens.functions.text import clean_text, composite_key, first_int, int_or_last, is_yes, joined_key, number_in, strip
 from admitlens.operators.keyed import best_row, consecutive_ids, first_wins, later_rows, null_safe_join, top_n
 from admitlens.operators.quality import ISSUE_COLUMNS, collect_issues, conflicting_values, domain_check, issue, missing_checks
 from admitlens.rules import ADVICE, EXPECTED_YEARS, REQUIRED_FIELDS
@@ -38,11 +38,43 @@ _ROW_NAMES = {
 }
 
 
+class LazyTables(Mapping):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[DataFrame], DataFrame]], rows: DataFrame) -> None:
+        self._makers, self._rows, self._made = makers, rows, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self._rows)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class Cleaned:
-    tables: dict[str, DataFrame]
-    issues: DataFrame
+    """The prepared rows, the cleaned tables, and the issues; tables are planned and issues found when they are asked for."""
+
     rows: DataFrame
+    batch: str
+    source_file: str
+    school_list: DataFrame | None = None
+
+    @cached_property
+    def tables(self) -> LazyTables:
+        return LazyTables(TABLE_MAKERS, self.rows)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        stages = issue_stages(self.rows)
+        if self.school_list is not None:
+            stages.append(schools_without_plans(self.rows, self.school_list, self.batch, self.source_file))
+        return numbered_issues(stages)
 
 
 def direction_key() -> Column:
@@ -66,7 +98,7 @@ def prepare_rows(raw: DataFrame, batch: str, source_file: str) -> DataFrame:
     raws = [F.col(c).cast("string").alias(f"_raw_{c}") for c in REQUIRED_FIELDS]
     rows = wide.select(LINE, F.lit(batch).alias("batch_id"), F.lit(source_file).alias("source_file"), *cleaned, *raws)
     return rows.withColumns(
-        {**{f"{c}_int": first_int(F.col(c)) for c in NUMBERS}, "has_doctor_int": bool_int(F.col("has_doctor"))}
+        {**{f"{c}_int": number_in(F.col(c)) for c in NUMBERS}, "has_doctor_int": is_yes(F.col("has_doctor"))}
     )
 
 
@@ -208,6 +240,27 @@ def _as_table(df: DataFrame, table: str, names: dict[str, str]) -> DataFrame:
     return df.select(LINE, *cols)
 
 
+TABLE_MAKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "departments": departments,
+    "majors": majors,
+    "enrollment_plans": enrollment_plans,
+    "score_lines": score_lines,
+    "subject_level_rates": subject_level_rates,
+    "admission_records": admission_records,
+}
+
+
+def issue_stages(rows: DataFrame) -> list[DataFrame]:
+    """Issues in the order in which they are found."""
+    line_key = joined_key(*[F.col(k) for k in LINE_KEY])
+    return [
+        row_issues(rows),
+        duplicate_issues(rows, PLAN_KEY, "enrollment_plans", "direction_key", direction_key(), ADVICE["duplicate_plan"]),
+        duplicate_issues(with_total(rows), LINE_KEY, "score_lines", "score_line_key", line_key, ADVICE["duplicate_line"]),
+        rate_conflicts(rows),
+    ]
+
+
 def clean(
     raw: DataFrame, batch: str, source_file: str, school_list: DataFrame | None = None,
     keep: Callable[[DataFrame], DataFrame] = staged,
@@ -216,27 +269,7 @@ def clean(
 
     The prepared rows feed every output, so they are written once (`keep`).
     """
-    rows = keep(prepare_rows(raw, batch, source_file))
-    stages = [
-        row_issues(rows),
-        duplicate_issues(rows, PLAN_KEY, "enrollment_plans", "direction_key", direction_key(), ADVICE["duplicate_plan"]),
-        duplicate_issues(
-            with_total(rows), LINE_KEY, "score_lines", "score_line_key", joined_key(*[F.col(k) for k in LINE_KEY]),
-            ADVICE["duplicate_line"],
-        ),
-        rate_conflicts(rows),
-    ]
-    if school_list is not None:
-        stages.append(schools_without_plans(rows, school_list, batch, source_file))
-    tables = {
-        "departments": departments(rows),
-        "majors": majors(rows),
-        "enrollment_plans": enrollment_plans(rows),
-        "score_lines": score_lines(rows),
-        "subject_level_rates": subject_level_rates(rows),
-        "admission_records": admission_records(rows),
-    }
-    return Cleaned(tables, numbered_issues(stages), rows)
+    return Cleaned(keep(prepare_rows(raw, batch, source_file)), batch, source_file, school_list)
 
 
 def in_file_order(df: DataFrame, table: str) -> DataFrame:

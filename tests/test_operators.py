@@ -63,7 +63,7 @@ def test_previous_in_order_equals_a_plain_lag(sample):
 
 def test_consecutive_ids(sample):
     rows, df = sample
-    ids = keyed.consecutive_ids(df, "year", "line", ["value"], "id", bucket_rows=50).collect()
+    ids = keyed.consecutive_ids(df, "year", "line", ["value"], "id").collect()
     want = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])), start=1)}
     assert {r.line: r.id for r in ids} == want
 
@@ -163,6 +163,6 @@ def test_later_rows_of_a_hot_key(spark):
 
 def test_ids_of_far_apart_positions(spark):
     rows = spark.range(500).selectExpr("0 as stage", "(id * 7919 % 500) * 1000000000000 as at")
-    got = keyed.consecutive_ids(rows, "stage", "at", [], "n", bucket_rows=60).orderBy("at").collect()
+    got = keyed.consecutive_ids(rows, "stage", "at", [], "n").orderBy("at").collect()
     assert [r.n for r in got] == list(range(1, 501))
     assert keyed.consecutive_ids(rows.limit(0), "stage", "at", [], "n").count() == 0

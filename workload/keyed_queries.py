@@ -240,7 +240,7 @@ def _issues(v: Views) -> DataFrame:
 )
 def quality_issues(v: Views) -> DataFrame:
     staged = _issues(v).withColumn("_stage", F.lit(0))
-    ids = keyed.consecutive_ids(staged, "_stage", "line", ["_ordinal"], "issue_id", bucket_rows=1000)
+    ids = keyed.consecutive_ids(staged, "_stage", "line", ["_ordinal"], "issue_id")
     return ids.select("issue_id", "line", "field_name", "issue_type", "raw_value", "record_key")
 
 
