@@ -1,7 +1,10 @@
 """The fuzzy trie against edit distances; held-out accuracy; quotation; odd rows."""
 
+import os
 import random
 
+import pytest
+
 from admitlens.llm import toxicity
 from admitlens.llm.lexicon import FuzzyTrie
 
@@ -36,12 +39,17 @@ def test_quoted_hits_count_apart():
     assert scorer.features("") == [0.0] * 6
 
 
-def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").filter("doc_id % 6 = 1")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
+@pytest.mark.parametrize("folder, least", [("sf0.1", 0.8), ("check_s", 0.95)])  # sf0.1 has 400 toxic labels to learn from
+def test_held_out_accuracy(spark, folder, least):
+    if not os.path.isdir(f"/root/testdata/{folder}"):
+        pytest.skip("the check tool's tables are not there")
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet")
+    if folder == "check_s":
+        docs = docs.filter("doc_id % 6 = 1")
     rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     found = sum(r.predicted for r in rows if r.toxic)
-    assert found >= 0.95 * sum(r.toxic for r in rows) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
+    assert found >= least * sum(r.toxic for r in rows) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
 
 
 def test_odd_rows(spark):
