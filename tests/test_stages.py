@@ -131,6 +131,34 @@ def test_load_merges_and_repeats_safely(spark, cleaned, tmp_path):
     assert load.merge_issues(first, prepared["quality_issues"]).count() == first.count() == 9
 
 
+def test_stored_tables(spark, cleaned, tmp_path):
+    tables = {n: df.select(*[F.col(c) if c == "_line_no" else F.col(c).cast("string").alias(c) for c in df.columns]) for n, df in cleaned[0].tables.items() if n != "admission_records"}
+    issues = cleaned[0].issues.withColumn("_line_no", F.col("issue_id"))
+    uni = spark.createDataFrame([(100, 1), (200, 2), (900, 9)], "id long, candidate_school_id long")
+    docs = spark.createDataFrame([(7, 100, "school_list"), (8, 100, "school_list")], "id long, university_id long, document_type string")
+    empty = load.empty_targets(spark)
+    known = spark.createDataFrame([(50, 100, "计算机学院", "old", None), (60, 900, "别的学院", "kept", 1)], empty["departments"].schema)
+    prepared = load.prepare_quality_issues(issues, load.build_context(uni, docs, known, empty["majors"]))
+    stored = {**empty, "departments": known, "quality_issues": spark.createDataFrame([], prepared.drop("_line_no").schema)}
+    load.store_tables(stored, str(tmp_path), 16)
+    files = lambda name: {str(f.relative_to(tmp_path)) for f in (tmp_path / name / "rows").glob("*/*.parquet")}
+    before = files("departments")
+    rows = {**tables, "quality_issues": issues}
+    first = load.load_stored(spark, str(tmp_path), rows, uni, docs)
+    departments = {(r.id, r.university_id, r.department_name, r.standard_name) for r in sinks.stored_table(spark, str(tmp_path / "departments")).collect()}
+    assert departments == {(50, 100, "计算机学院", "计算机学院"), (60, 900, "别的学院", "kept"), (61, 200, "计算机学院", "计算机学院")}
+    assert len(first["departments"]) == 2 and len(before & files("departments")) == 1  # the folder of school 900 is as it was
+    state = lambda: {n: sorted(map(str, sinks.stored_table(spark, str(tmp_path / n)).collect())) for n in stored}
+    loaded, kept = state(), files("quality_issues")
+    assert len(loaded["quality_issues"]) == 9 and len(loaded["majors"]) == len({r.split("id=")[1] for r in loaded["majors"]})
+    load.load_stored(spark, str(tmp_path), rows, uni, docs)
+    assert state() == loaded and files("quality_issues") == kept
+    only = {"departments": tables["departments"].filter("school_id = '2'").withColumn("standard_name", F.lit("new"))}
+    now = files("departments")
+    assert len(load.load_stored(spark, str(tmp_path), only, uni, docs)["departments"]) == 1 and len(now & files("departments")) == len(now) - 1
+    assert sinks.upsert_stored(spark, str(tmp_path / "departments"), known.limit(0).drop("id"), ["university_id", "department_name"], ["standard_name"], "university_id") == []
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"items": [{"school_id": 1, "school_name": "甲", "is_985": 1}, {"school_id": "2", "school_name": "乙"}]}, ensure_ascii=False))
     found = readers.read_school_list(spark, str(tmp_path / "s.json"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admitlens import schemas
 from admitlens.plans import clean, integrate, load, registry
+from admitlens.sources.sinks import stored_table
+from admitlens.sources.stage import stage_folder
 from workload.list_queries import SOURCES, source_documents
 from workload.registry import query
 from workload.views import Views, with_views
@@ -318,6 +323,55 @@ def loaded_lines(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "loaded_tables", "X3 K3 W7 W8 W9 W10 A13 J11",
+    with_views(
+        NEEDS,
+        """SELECT 'departments' AS table_name, university_id || '|' || depart_name AS name, depart_name AS value FROM integrated GROUP BY ALL
+        UNION ALL SELECT 'majors', concat_ws('|', university_id, depart_name, special_code, coalesce(study_mode, ''), coalesce(research_area, '')), major_name || '|' || coalesce(major_category, '')
+          FROM (SELECT * FROM integrated QUALIFY row_number() OVER (PARTITION BY university_id, depart_name, special_code, study_mode, research_area
+            ORDER BY exam_book IS NULL, note IS NULL, intro_id IS NULL, year DESC, line_no) = 1)
+        UNION ALL SELECT 'enrollment_plans', concat_ws('|', y, university_id, depart_name, special_code, coalesce(study_mode, ''), coalesce(research_area, '')),
+          CAST(CAST(sum(CAST(regexp_extract(recruit, '-?[0-9]+') AS BIGINT)) AS BIGINT) AS VARCHAR) FROM integrated GROUP BY ALL
+        UNION ALL SELECT 'score_lines', concat_ws('|', y, university_id, depart_name, special_code, coalesce(study_mode, ''), coalesce(research_area, ''), major_name),
+          max(total) || '|' || max(diff) FROM integrated WHERE total IS NOT NULL GROUP BY y, university_id, depart_name, special_code, study_mode, research_area, major_name
+        UNION ALL SELECT 'subject_level_rates', university_id || '|' || subject_code, level_rate FROM (SELECT * FROM integrated WHERE subject_code IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY university_id, subject_code ORDER BY level_rate IS NULL, line_no) = 1)""",
+        INTEGRATED,
+    ),
+)
+def loaded_tables(v: Views) -> DataFrame:
+    """Stored tables after two loads: half of the schools with old values, then all; ids are followed back to names."""
+    tables = {
+        name: df.select(*[F.col(c) if c == "_line_no" else F.col(c).cast("string").alias(c) for c in df.columns])
+        for name, df in cleaned(v).tables.items()
+        if name != "admission_records"
+    }
+    old = {"departments": "standard_name", "majors": "major_name", "enrollment_plans": "plan_count", "score_lines": "total_score_line", "subject_level_rates": "level_rate"}
+    earlier = {n: df.filter(F.col("school_id").cast("bigint") % 2 == 0).withColumn(old[n], F.lit("1")) for n, df in tables.items()}
+    sources = source_documents(v)
+    folder = f"{stage_folder(v.spark)}/stored/{uuid4().hex}"
+    empty = load.empty_targets(v.spark)
+    load.store_tables(empty, folder, 16)
+    for batch in (earlier, tables):
+        load.load_stored(v.spark, folder, batch, v.universities, sources)
+    of = {n: stored_table(v.spark, f"{folder}/{n}") for n in old}
+    text = lambda *columns: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    departments = of["departments"].select(F.col("id").alias("department_id"), "department_name")
+    majors = of["majors"].join(departments, "department_id").select(
+        F.col("id").alias("major_id"), text("university_id", "department_name", "major_code", "study_mode", "research_direction").alias("major"), text("major_name", "major_category").alias("value")
+    )
+    plans = of["enrollment_plans"].join(majors.select("major_id", "major"), "major_id")
+    lines = of["score_lines"].join(majors.select("major_id", "major"), "major_id")
+    parts = [
+        ("departments", of["departments"], text("university_id", "department_name"), F.col("standard_name")), ("majors", majors, F.col("major"), F.col("value")),
+        ("enrollment_plans", plans, text("year", "major"), F.col("plan_count").cast("string")),
+        ("score_lines", lines, text("year", "major", "major_category"), text("total_score_line", "score_diff_to_national")),
+        ("subject_level_rates", of["subject_level_rates"], text("university_id", "subject_code"), F.col("level_rate")),
+    ]
+    return reduce(DataFrame.union, [df.select(F.lit(n).alias("table_name"), name.alias("name"), value.alias("value")) for n, df, name, value in parts])
+
+
 @query(
     "load_counts", "A17 X3",
     with_views(
