@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitlens.operators.bloom import prefiltered
 from admitlens.operators.keyed import null_safe_join, top_n
 
 
@@ -61,7 +62,8 @@ def substring_matches(needles: DataFrame, needle: str, haystacks: DataFrame, hay
     """All (needle, haystack) pairs in which the needle is part of the haystack, by equality.
 
     Both sides are made distinct first. A haystack is expanded into its substrings of the lengths
-    that needles have (one small array), which turns `contains` into a hash join. Meant for names.
+    that needles have (one small array), which turns `contains` into a hash join; a filter of the needles drops nearly all substrings that
+    are none before anything is shuffled. Meant for names.
     """
     wanted = needles.select(F.col(needle)).filter(F.length(needle) > 0).distinct()
     # The lengths that occur, as one value: a scalar subquery, at most one entry per text length.
@@ -74,7 +76,8 @@ def substring_matches(needles: DataFrame, needle: str, haystacks: DataFrame, hay
         )
     )
     pieces = names.withColumn("_lengths", lengths).select(hay, F.explode(F.array_distinct(cut)).alias("_piece"))
-    return pieces.join(wanted, F.col("_piece") == F.col(needle)).select(needle, hay)
+    near = prefiltered(pieces, "_piece", wanted.withColumnRenamed(needle, "_piece"))
+    return near.join(wanted, F.col("_piece") == F.col(needle)).select(needle, hay)
 
 
 def band_history(
@@ -102,5 +105,11 @@ def first_theta_match(
 
 
 def skip_completed(work: DataFrame, completed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work items whose key is not completed yet."""
-    return null_safe_join(work, completed, keys, "left_anti")
+    """Work items whose key is not completed yet; missing key values equal each other.
+
+    Of the completed keys, which are the history of all runs, only those that may be among the work are shuffled.
+    """
+    key = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("_key")
+    asked = work.select(key)
+    known = completed.select(*keys, key)
+    return null_safe_join(work, prefiltered(known, "_key", asked).drop("_key"), keys, "left_anti")

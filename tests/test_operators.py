@@ -166,3 +166,21 @@ def test_ids_of_far_apart_positions(spark):
     got = keyed.consecutive_ids(rows, "stage", "at", [], "n").orderBy("at").collect()
     assert [r.n for r in got] == list(range(1, 501))
     assert keyed.consecutive_ids(rows.limit(0), "stage", "at", [], "n").count() == 0
+
+
+def test_audited_write(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "if(id < 3, null, id) as v")
+    out = str(tmp_path / "t")
+    save = lambda df: df.write.mode("errorifexists").parquet(out)
+    first = sinks.audited_write(rows, F.col("v").isNull(), save, "load", "batch", "in", out).first()
+    assert (first.status, first.total_count, first.success_count, first.failed_count, first.error_message) == ("partial", 10, 7, 3, None)
+    assert first.start_time <= first.end_time and spark.read.parquet(out).count() == 10
+    again = sinks.audited_write(rows, F.col("v").isNull(), save, "load", "batch", "in", out).first()
+    assert again.status == "failed" and "PATH_ALREADY_EXISTS" in again.error_message and again.total_count is None
+    assert sinks.audited_write(rows, F.lit(False), lambda df: df.write.format("noop").mode("overwrite").save(), "n", "t", "", "").first().status == "success"
+
+
+def test_skip_completed(spark):
+    work = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (None, None)], "k int, s string")
+    done = spark.range(3000).selectExpr("cast(id as int) as k", "'x' as s").union(spark.createDataFrame([(1, None), (2, "b")], "k int, s string"))
+    assert sorted(map(str, joins.skip_completed(work, done, ["k", "s"]).collect())) == ["Row(k=1, s='a')", "Row(k=None, s=None)"]
