@@ -131,14 +131,6 @@ def consecutive_ids(df: DataFrame, stage: str, position: str, tie: Sequence[str]
     return with_offsets(staged(with_places(ranges)), name, 1)
 
 
-def numbered_lines(df: DataFrame, name: str = "_line_no", start: int = 2) -> DataFrame:
-    """File-order line numbers for a freshly read file source.
-
-    Position inside a task comes from `monotonically_increasing_id`; one count per task gives the offsets. The file is read twice.
-    """
-    return with_offsets(with_places(df), name, start)
-
-
 def new_key_ids(df: DataFrame, known: DataFrame, keys: Sequence[str], line: str, name: str) -> DataFrame:
     """Preview ids -1, -2, .. for keys that are not known yet, in order of first appearance."""
     firsts = df.groupBy(*keys).agg(F.min(line).alias("_first"))

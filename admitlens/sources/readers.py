@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from admitlens import schemas
 from admitlens.functions.text import clean_text, missing_to_null, strip_or_null
-from admitlens.operators.keyed import numbered_lines
 from admitlens.rules import NATIONAL_LINES, RULES, Rules
+from admitlens.sources.ranges import read_csv_ranges
 
 TABLES = tuple(schemas.CLEANED)
 
@@ -21,14 +21,6 @@ class SourceError(ValueError):
     """Input that cannot be used."""
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Headered CSV with quoted line breaks, doubled quotes and an optional BOM; all columns text, "" = NULL."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
-
-
 def cleaned_path(base: str, table: str, batch: str, nested: bool) -> str:
     """`<base>/<table>/<table>_<batch>.csv` on a cluster file system, `<base>/<table>_<batch>.csv` otherwise."""
     file = f"{table}_{batch}.csv"
@@ -37,8 +29,7 @@ def cleaned_path(base: str, table: str, batch: str, nested: bool) -> str:
 
 def read_cleaned(spark: SparkSession, base: str, table: str, batch: str, nested: bool = False) -> DataFrame:
     """One cleaned table with its declared types; a number that cannot be read is NULL."""
-    raw = read_text_csv(spark, cleaned_path(base, table, batch, nested))
-    return typed(raw, table)
+    return typed(read_csv_ranges(spark, cleaned_path(base, table, batch, nested)), table)
 
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
@@ -51,19 +42,19 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
 
 
 def read_integrated(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
-    """The integrated file with its line numbers (the first record is line 2). Fails when it has no record."""
-    rows = read_text_csv(spark, path)
+    """The integrated file with the line numbers of its records (the first is line 2), read in ranges. Fails when it has no record."""
+    rows = read_csv_ranges(spark, path)
     if rows.isEmpty():
         raise SourceError(f"no records in {path}")
-    return numbered_lines(rows) if numbered else rows
+    return rows if numbered else rows.drop("_line_no")
 
 
 def read_clean_dir(spark: SparkSession, base: str, batch: str, tables: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     """All cleaned tables as trimmed text. A missing file fails here (Spark checks the paths)."""
     out = {}
     for table in tables:
-        raw = read_text_csv(spark, cleaned_path(base, table, batch, nested=False))
-        out[table] = numbered_lines(raw.select(*[strip_or_null(F.col(c)).alias(c) for c in raw.columns]))
+        raw = read_csv_ranges(spark, cleaned_path(base, table, batch, nested=False))
+        out[table] = raw.select(*[F.col(c) if c == "_line_no" else strip_or_null(F.col(c)).alias(c) for c in raw.columns])
     return out
 
 

@@ -191,7 +191,7 @@ def test_csv_layouts_and_tables(spark, tmp_path):
     with pytest.raises(readers.SourceError):
         readers.require_columns(spark.range(1), ["x"])
     sinks.write_csv(spark.createDataFrame([("a,\"b", 1, 2)], "t string, n int, extra int"), str(tmp_path / "out"), ["n", "t"], single_file=True)
-    assert [tuple(r) for r in readers.read_text_csv(spark, str(tmp_path / "out")).collect()] == [("1", 'a,"b')]
+    assert [tuple(r) for r in readers.read_integrated(spark, str(tmp_path / "out"), numbered=False).collect()] == [("1", 'a,"b')]
     assert readers.national_lines(spark).count() == 69 and readers.national_lines(spark).filter("subject_two_line = 0").count() == 0
     path = sinks.with_snapshot(spark.range(3).toDF("id"), str(tmp_path / "t"), "1")
     assert spark.read.parquet(path).count() == 3

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admitlens.functions import codes, text
 from admitlens.plans import evidence
-from admitlens.sources.readers import typed
+from admitlens.sources import sinks
+from admitlens.sources.ranges import read_csv_ranges
+from admitlens.sources.readers import read_integrated, typed
+from admitlens.sources.stage import stage_folder
 from workload.registry import query
 from workload.views import Views
 
@@ -319,3 +324,22 @@ def typed_columns(v: Views) -> DataFrame:
         F.get_json_object("props", "$.k").alias("plan_count"),
     )
     return typed(raw, "enrollment_plans").select("plan_id", "year", "plan_count")
+
+
+@query("csv_round_trip", "S2 S3 K2", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, nullif(text, '') AS text FROM documents""")
+def csv_round_trip(v: Views) -> DataFrame:
+    """Whole texts, with their quotes and line breaks, to CSV files of a fixed column order and back, read in ranges."""
+    path = f"{stage_folder(v.spark)}/csv/{uuid4().hex}"
+    sinks.write_csv(v.table("documents").withColumn("extra", F.lit(1)), path, ["doc_id", "lang", "text"])
+    return read_csv_ranges(v.spark, path).select("doc_id", "lang", "text")
+
+
+@query(
+    "csv_single_file", "S2 K1 K2 L1",
+    """SELECT row_number() OVER (ORDER BY p_name, p_partkey) + 1 AS line_no, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part""",
+)
+def csv_single_file(v: Views) -> DataFrame:
+    """An ordered export as one file; the line numbers come back with the records."""
+    path = f"{stage_folder(v.spark)}/csv/{uuid4().hex}"
+    sinks.write_csv(v.table("part").orderBy("p_name", "p_partkey"), path, ["p_partkey", "p_name", "p_brand"], single_file=True)
+    return read_integrated(v.spark, path).select(F.col("_line_no").alias("line_no"), "p_partkey", "p_name", "p_brand")
