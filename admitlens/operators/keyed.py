@@ -120,15 +120,19 @@ def with_places(df: DataFrame) -> DataFrame:
     return base.withColumn("_part", part).withColumn("_pos", F.col("_mid") - F.shiftleft(part, 33)).drop("_mid")
 
 
-def consecutive_ids(df: DataFrame, stage: str, position: str, tie: Sequence[str], name: str) -> DataFrame:
-    """1..n in the order (stage, position, tie) without sorting everything in one task.
+def numbered_in(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
+    """Rows numbered in a total order without sorting everything in one task.
 
-    Rows are dealt by ranges of that order, as Spark samples it, so neither gaps nor clusters of positions matter; a task's
-    rows are numbered behind those of the tasks before it.
+    Rows are dealt by ranges of that order, as Spark samples it, so neither gaps nor clusters matter; a task's rows are numbered behind
+    those of the tasks before it.
     """
-    order = [F.col(c) for c in (stage, position, *tie)]
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return with_offsets(staged(with_places(ranges)), name, 1)
+    return with_offsets(staged(with_places(ranges)), name, start)
+
+
+def consecutive_ids(df: DataFrame, stage: str, position: str, tie: Sequence[str], name: str) -> DataFrame:
+    """1..n in the order (stage, position, tie)."""
+    return numbered_in(df, [F.col(c) for c in (stage, position, *tie)], name)
 
 
 def new_key_ids(df: DataFrame, known: DataFrame, keys: Sequence[str], line: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from admitlens.functions.codes import enum_rank, literal_map
 from admitlens.functions.text import readable_category, strip
-from admitlens.operators.keyed import top_n
+from admitlens.operators.keyed import numbered_in, top_n
 from admitlens.plans.charts import UNCLASSIFIED
 from admitlens.rules import OFFICIAL_SITES, PRIORITIES
 
@@ -156,11 +156,21 @@ def page_bounds(limit: int | None = None, offset: int | None = None) -> tuple[in
     return size, start
 
 
+SHALLOW = 10_000  # rows before a page that Spark may keep while it looks for the first ones
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """One page with the columns `total` and `has_more`."""
+    """One page with the columns `total` and `has_more`.
+
+    `orderBy.offset.limit` keeps all rows before the page in one task. Deep pages take the rows with the wanted numbers from ranges of the
+    order instead, of which each knows how many rows come before it.
+    """
     size, start = page_bounds(limit, offset)
     total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.orderBy(*order).offset(start).limit(size)
+    if start <= SHALLOW:
+        rows = df.orderBy(*order).offset(start).limit(size)
+    else:
+        rows = numbered_in(df, order, "_place", 0).filter(F.col("_place").between(start, start + size - 1)).drop("_place")
     return rows.withColumn("total", total).withColumn("has_more", F.lit(start + size) < F.col("total"))
 
 
@@ -333,3 +343,23 @@ def matching_majors(universities: DataFrame, majors: DataFrame, major_category:
     """(university, major code, major name) rows of the category."""
     m = majors.filter(F.col("major_category") == major_category).select("university_id", "major_code", "major_name")
     return universities.select(F.col("id").alias("university_id")).join(m, "university_id")
+
+
+def matching_schools(universities: DataFrame, majors: DataFrame, rates: DataFrame, major_category: str | None = None) -> DataFrame:
+    """Schools with the nested lists `matching_majors` (code, name), with a category, and `subject_ratings` (subject, level), without null levels.
+
+    Lists are per school and empty where there is nothing; they are in the order of the tables' ids.
+    """
+    def nested(df: DataFrame, listed: str, /, **fields: str) -> DataFrame:
+        row = F.struct("id", *[F.col(c).alias(f) for f, c in fields.items()])
+        lists = df.groupBy("university_id").agg(F.sort_array(F.collect_list(row)).alias("_list"))
+        return lists.select(F.col("university_id").alias("id"), F.transform("_list", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(listed))
+
+    out = universities.select("id", F.col("university_name").alias("name"), "province", "city", F.col("school_type").alias("type"), F.col("school_level").alias("level"))
+    parts = [nested(rates.filter(F.col("level_rate") != ""), "subject_ratings", subject="subject_name", level="level_rate")]
+    if major_category is not None:
+        parts.insert(0, nested(majors.filter(F.col("major_category") == major_category), "matching_majors", code="major_code", name="major_name"))
+    for part in parts:
+        name = part.columns[1]
+        out = out.join(part, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out

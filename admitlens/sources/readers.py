@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from admitlens import schemas
-from admitlens.functions.text import clean_text, missing_to_null, strip_or_null
+from admitlens.functions.text import missing_to_null, strip_or_null
 from admitlens.rules import NATIONAL_LINES, RULES, Rules
 from admitlens.sources.ranges import read_csv_ranges
 
@@ -115,9 +115,9 @@ def declare_csv_table(spark: SparkSession, name: str, table: str, location: str)
     )
 
 
-def store_typed_table(spark: SparkSession, source: str, target: str, table: str, partition_by: str | None = None) -> None:
-    """Parquet copy of a declared table with real types."""
-    writer = typed(spark.table(source), table).write.mode("errorifexists").format("parquet")
+def store_typed_table(spark: SparkSession, source: str, target: str, table: str, location: str, partition_by: str | None = None) -> None:
+    """Parquet copy of a declared table with real types, as a table of the catalog; a filter on `partition_by` reads its folders only."""
+    writer = typed(spark.table(source), table).write.mode("errorifexists").format("parquet").option("path", location)
     (writer.partitionBy(partition_by) if partition_by else writer).saveAsTable(target)
 
 
@@ -147,11 +147,6 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def cleaned_text(df: DataFrame, keep: tuple[str, ...] = ("_line_no",)) -> DataFrame:
-    """Every column cleaned except the ones to keep."""
-    return df.select(*[F.col(c) if c in keep else clean_text(F.col(c).cast("string")).alias(c) for c in df.columns])
-
-
 def union_ids(frames: list[DataFrame], column: str) -> DataFrame:
     """Distinct values of one column over several tables."""
     parts = [f.select(column) for f in frames]

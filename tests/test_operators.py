@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from admitlens.operators import joins, keyed, quality
 from admitlens.operators.candidates import Filter, attach, candidates
+from admitlens.plans import recommend
 from admitlens.sources import sinks
 
 
@@ -184,3 +185,16 @@ def test_skip_completed(spark):
     work = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (None, None)], "k int, s string")
     done = spark.range(3000).selectExpr("cast(id as int) as k", "'x' as s").union(spark.createDataFrame([(1, None), (2, "b")], "k int, s string"))
     assert sorted(map(str, joins.skip_completed(work, done, ["k", "s"]).collect())) == ["Row(k=1, s='a')", "Row(k=None, s=None)"]
+
+
+def test_numbers_in_an_order(spark):
+    rows = spark.range(3000).selectExpr("id", "cast(if(id % 3 = 0, 7, id % 50) as int) as k")
+    got = keyed.numbered_in(rows, [F.col("k").desc(), F.col("id")], "n", 0).collect()
+    want = sorted(((7 if i % 3 == 0 else i % 50, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r.n)] == want and {r.n for r in got} == set(range(3000))
+
+
+def test_report_records(spark):
+    rows = spark.createDataFrame([("t", 1, "x", None, "text")], "trace_id string, recommendation_log_id int, a string, b string, report_content string")
+    r = recommend.report_records(rows, ["a", "b"]).first()
+    assert (r.trace_id, r.report_type, r.prompt_json, r.report_content) == ("t", "recommendation", '{"a":"x","b":null}', "text")

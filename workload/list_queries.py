@@ -322,6 +322,31 @@ def matching_majors(v: Views) -> DataFrame:
     return catalog.matching_majors(v.universities, v.majors, "LARGE")
 
 
+@query(
+    "matching_schools", "A23",
+    with_views(
+        "universities majors rates",
+        """SELECT u.id, u.university_name AS name, u.province, u.school_type AS type, u.school_level AS level, coalesce(m.majors, '') AS matching_majors, coalesce(r.ratings, '') AS subject_ratings
+        FROM universities u LEFT JOIN (SELECT university_id, string_agg(major_code || ':' || major_name, ',' ORDER BY id) AS majors FROM majors WHERE major_category = 'LARGE' GROUP BY 1) m ON m.university_id = u.id
+        LEFT JOIN (SELECT university_id, string_agg(subject_name || ':' || level_rate, ',' ORDER BY id) AS ratings FROM rates WHERE level_rate <> '' GROUP BY 1) r ON r.university_id = u.id""",
+    ),
+)
+def matching_schools(v: Views) -> DataFrame:
+    """Nested lists, written as text for the comparison."""
+    out = catalog.matching_schools(v.universities, v.majors, v.rates, "LARGE")
+    listed = lambda name, a, b: F.array_join(F.transform(name, lambda r: F.concat(r[a], F.lit(":"), r[b])), ",").alias(name)
+    return out.select("id", "name", "province", "type", "level", listed("matching_majors", "code", "name"), listed("subject_ratings", "subject", "level"))
+
+
+@query(
+    "majors_deep_page", "L3 F2 J2",
+    with_views("majors", """SELECT id, (SELECT count(*) FROM majors) AS total FROM majors ORDER BY id DESC LIMIT 200 OFFSET 12000"""),
+)
+def majors_deep_page(v: Views) -> DataFrame:
+    """A page far behind the first one."""
+    return catalog.page(v.majors, [F.col("id").desc()], 200, 12000).select("id", "total")
+
+
 @query(
     "level_options", "F8",
     with_views("universities", "SELECT id FROM universities WHERE contains(school_level, '985') OR contains(school_level, '普通')"),

@@ -7,11 +7,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from admitlens import schemas
 from admitlens.functions import codes, text
 from admitlens.plans import evidence
 from admitlens.sources import sinks
 from admitlens.sources.ranges import read_csv_ranges
-from admitlens.sources.readers import read_integrated, typed
+from admitlens.sources.readers import declare_csv_table, read_integrated, store_typed_table, typed
 from admitlens.sources.stage import stage_folder
 from workload.registry import query
 from workload.views import Views
@@ -343,3 +344,41 @@ def csv_single_file(v: Views) -> DataFrame:
     path = f"{stage_folder(v.spark)}/csv/{uuid4().hex}"
     sinks.write_csv(v.table("part").orderBy("p_name", "p_partkey"), path, ["p_partkey", "p_name", "p_brand"], single_file=True)
     return read_integrated(v.spark, path).select(F.col("_line_no").alias("line_no"), "p_partkey", "p_name", "p_brand")
+
+
+@query(
+    "catalog_table", "S7",
+    """SELECT event_id AS plan_id, CAST(json_extract(props, '$.k') AS INTEGER) AS plan_count FROM events WHERE event_type = 'view'""",
+)
+def catalog_table(v: Views) -> DataFrame:
+    """CSV files declared as a table, copied to a typed table in folders by year, of which one year is read."""
+    run, folder = uuid4().hex, f"{stage_folder(v.spark)}/catalog"
+    rows = v.table("events").select(
+        F.col("event_id").cast("string").alias("plan_id"), F.when(F.col("event_type") == "view", "2024").otherwise("2023").alias("year"),
+        F.get_json_object("props", "$.k").alias("plan_count"),
+    )
+    columns = schemas.CLEANED["enrollment_plans"]
+    full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    sinks.write_csv(full, f"{folder}/csv_{run}", columns)
+    declare_csv_table(v.spark, f"plans_csv_{run}", "enrollment_plans", f"{folder}/csv_{run}")
+    store_typed_table(v.spark, f"plans_csv_{run}", f"plans_{run}", "enrollment_plans", f"{folder}/plans_{run}", "year")
+    return v.spark.table(f"plans_{run}").filter(F.col("year") == 2024).select("plan_id", "plan_count")
+
+
+@query(
+    "null_sums", "C17",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE a + b END AS total
+    FROM (SELECT l_orderkey, l_linenumber, nullif(l_partkey % 3, 0) AS a, nullif(l_suppkey % 4, 0) AS b FROM lineitem)""",
+)
+def null_sums(v: Views) -> DataFrame:
+    part, supplier = (F.nullif(F.col(c) % n, F.lit(0)) for c, n in (("l_partkey", 3), ("l_suppkey", 4)))
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", text.null_add(part, supplier).alias("total"))
+
+
+@query(
+    "null_free_keys", "C18",
+    """SELECT o_orderkey, coalesce(nullif(o_custkey % 3, 1), 0) AS id_key, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, '') AS text_key FROM orders""",
+)
+def null_free_keys(v: Views) -> DataFrame:
+    number, name = F.nullif(F.col("o_custkey") % 3, F.lit(1)), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))
+    return v.table("orders").select("o_orderkey", text.unique_key(number, "id").alias("id_key"), text.unique_key(name, "text").alias("text_key"))
