@@ -7,6 +7,8 @@ longest counts. DataFrame functions only; the tables are ordinary DataFrames, ho
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +54,65 @@ SENTENCES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
         "without specific prior written permission."
     ),
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "v2-later": "either version 2 of the License, or (at your option) any later version.",
+    "v3-later": "either version 3 of the License, or (at your option) any later version.",
+    "lgpl-free": "This library is free software;",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "v21-later": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl3-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."
+    ),
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies."
+    ),
+    "isc-grant-and": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies."
+    ),
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-dedicated": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."
+    ),
+    "cc0-name": "CC0 1.0 Universal",
+    "bsd-numbered-source": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "spdx": "SPDX-License-Identifier:",
+}
+
+# Licence identifiers and the names that notices use for them.
+NAMES = {
+    "MIT": ["MIT License", "MIT licence"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0 License", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0 License", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
 }
+LEADS = ["Released under", "Licensed under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under"]
+SUFFIXED = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]  # whose identifiers end in -only or -or-later
 
 # Licence and its ordered sentences, one line per rule.
 RULES = [
@@ -70,8 +130,52 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "v2-later"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-only"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "v3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "v21-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-terms"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl3-terms"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy-s"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-and"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("CC0-1.0", ["cc0-dedicated"]),
+    ("CC0-1.0", ["cc0-name"]),
 ]
 
+
+def _plain(sentence: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
+
+
+def notices() -> tuple[list[tuple[str, str]], list[tuple[str, list[str]]]]:
+    """(sentence identifier, sentence) and rules of the usual one-line notices and of SPDX lines, from the names of the licences."""
+    known, seen, rules = [], {_plain(v) for v in SENTENCES.values()}, []
+
+    def add(name: str, sentence: str) -> None:
+        if _plain(sentence) not in seen:
+            seen.add(_plain(sentence))
+            known.append((name, sentence))
+
+    for license_, names in NAMES.items():
+        for name in names:
+            for lead in LEADS:
+                add(f"notice {license_}", f"{lead} {name}.")
+                add(f"notice {license_}", f"{lead} the {name}.")
+        rules.append((license_, [f"notice {license_}"]))
+        for identifier in [f"{license_}-only", f"{license_}-or-later"] if license_ in SUFFIXED else [license_]:
+            add(f"spdx {identifier}", identifier)
+            rules.append((identifier, ["spdx", f"spdx {identifier}"]))
+    return known, rules
+
+
+ALL_SENTENCES = [*SENTENCES.items(), *notices()[0]]
+ALL_RULES = [*RULES, *notices()[1]]
+
 _ENDS = r"[.;:!?]+[\x20\x09-\x0D]+"
 _BLANK_LINE = r"\n[\x20\x09-\x0D]*\n"
 
@@ -82,15 +186,21 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
 
 
-def sentence_table(spark: SparkSession, sentences: dict[str, str] | None = None) -> DataFrame:
-    """(sentence, known): normalised sentence and identifier."""
-    rows = spark.createDataFrame(list((sentences or SENTENCES).items()), "known string, raw string")
-    return rows.select(normal(F.col("raw")).alias("sentence"), "known").dropDuplicates(["sentence"])
+def _literal_rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    """A small table whose size Spark knows, so that its own size check broadcasts it."""
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def sentence_table(spark: SparkSession, sentences: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(sentence, known): normalised sentence and identifier. Sentences of one identifier are variants of one another; a sentence has one identifier."""
+    rows = [F.struct(F.lit(k).alias("known"), F.lit(raw).alias("raw")) for k, raw in sentences or ALL_SENTENCES]
+    return _literal_rows(spark, rows).groupBy(normal(F.col("raw")).alias("sentence")).agg(F.min("known").alias("known"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(license, sequence)."""
-    return spark.createDataFrame(rules or RULES, "license string, sequence array<string>")
+    rows = [F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, ids)).alias("sequence")) for name, ids in rules or ALL_RULES]
+    return _literal_rows(spark, rows)
 
 
 def recognised(docs: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -110,7 +220,8 @@ def recognised(docs: DataFrame, sentences: DataFrame) -> DataFrame:
 def license_matches(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 2) -> DataFrame:
     """(doc_id, t, license, first, last, n): the rules that match, places as positions among the recognised sentences.
 
-    Between neighbouring sentences of a rule at most `gap` unknown parts may stand. A match within a longer one doesn't count.
+    Between neighbouring sentences of a rule at most `gap` unknown parts may stand. A match within a longer one doesn't count; of
+    rules that match the same sentences the first name counts.
     """
     hits = recognised(docs, sentences)
     row = W.partitionBy("doc_id", "t").orderBy("part", "line", "known")

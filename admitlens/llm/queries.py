@@ -104,7 +104,7 @@ def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 _NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-_LONGEST = max(len(ids) for _, ids in licenses.RULES)
+_LONGEST = max(len(ids) for _, ids in licenses.ALL_RULES)
 
 
 def _quoted(s: str) -> str:
@@ -112,8 +112,8 @@ def _quoted(s: str) -> str:
 
 
 @_query("op5_license_scan", sql=f"""
-WITH known AS (SELECT known, {_NORMAL.format('raw')} AS sentence FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.SENTENCES.items())}) AS s(known, raw)),
-rules AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(name)}, [{", ".join(map(_quoted, ids))}])' for name, ids in licenses.RULES)}) AS r(license, ids)),
+WITH known AS (SELECT known, {_NORMAL.format('raw')} AS sentence FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in licenses.ALL_SENTENCES)}) AS s(known, raw)),
+rules AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(name)}, [{", ".join(map(_quoted, ids))}])' for name, ids in licenses.ALL_RULES)}) AS r(license, ids)),
 parts AS (
   SELECT doc_id, unnest(p) AS body, generate_subscripts(p, 1) AS part
   FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.;:!?]+[\x20\x09-\x0D]+') AS p FROM documents)),
