@@ -112,9 +112,11 @@ def school_id_from_issue(record_key: Column, raw_value: Column) -> Column:
     return F.when(has_key, strip_or_null(keyed)).otherwise(F.when(lead.rlike(r"^\d+$"), lead))
 
 
-def combined_raw_value(raw_value: Column, record_key: Column, limit: int = 1000) -> Column:
+def combined_raw_value(raw_value: Column, record_key: Column, limit: int | None = None) -> Column:
+    """Raw value and record key as one text; `limit` cuts it for display."""
     raw, key = missing_to_null(raw_value), missing_to_null(record_key)
-    return F.substring(F.coalesce(F.concat_ws(" | ", raw, key), F.lit("")), 1, limit)
+    whole = F.coalesce(F.concat_ws(" | ", raw, key), F.lit(""))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def issue_type_std(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Intermediate results written once and read back, so that several outputs do not recompute them.
 
-They go to the shared folder the session names in `spark.checkpoint.dir`, or below the warehouse where that
-is unset; any executor can read them again after another one is lost. `release` removes a table that is no
+They go to the shared folder the session names in `spark.checkpoint.dir`, or the context's checkpoint folder, or below the
+warehouse where both are unset; any executor can read them again after another one is lost. `release` removes a table that is no
 longer read; what is left goes when the application ends.
 """
 
@@ -15,8 +15,8 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    folder = spark.conf.get(_SETTING, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    """The shared folder of this session: its setting, else the context's checkpoint folder, else below the warehouse."""
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
     return folder.rstrip("/")
 
 

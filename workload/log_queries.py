@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from admitlens.functions.chat import ChatRules
 from admitlens.functions.output import parse_json
 from admitlens.plans import catalog, chat, history, reports
-from workload.registry import query
+from workload.registry import ORACLE, query
 from workload.views import Views
 
 
@@ -206,6 +206,12 @@ def chat_profiles(v: Views) -> DataFrame:
     return chat.chat_profiles(document_turns(v), RULES)
 
 
-@query("chat_requests", "X13 C24")
+@query(
+    "chat_requests", "X13",
+    f"""SELECT conv_id AS applicant_id, 2026 AS target_year, coalesce(target_province, '{RULES.default_province}') AS province, major_category, target_major AS major_name,
+      coalesce(degree_type, 'professional') AS degree_type, coalesce(study_mode, 'full_time') AS study_mode, school_level_preference AS level, 3 AS bucket_limit, estimated_score AS total_score
+    FROM ({ORACLE["chat_profiles"]}) WHERE (target_major IS NOT NULL OR major_category IS NOT NULL) AND estimated_score IS NOT NULL""",
+)
 def chat_requests(v: Views) -> DataFrame:
-    return chat.requests_from_profiles(chat.chat_profiles(document_turns(v), RULES), 2026, rules=RULES)
+    out = chat.requests_from_profiles(chat.chat_profiles(document_turns(v), RULES), 2026, rules=RULES)
+    return out.withColumn("level", F.array_join("preferred_school_levels", ",")).drop("preferred_school_levels")
