@@ -66,7 +66,7 @@ CLEANED = {
     ],
 }
 
-# Columns that carry numbers; the others are text.
+# Columns that carry numbers; the others are text.
 LONGS = {"school_id", "depart_id", "plan_id", "spe_id", "issue_id", "line_no"}
 INTS = {
     "year", "plan_count", "recommended_exemption_count", "unified_exam_count", "total_score_line",
@@ -95,7 +95,7 @@ def typed_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c)) for c in CLEANED[table]])
 
 
-# Key columns of the loaded tables.
+# Key columns of the loaded tables.
 TABLE_KEYS = {
     "universities": ["candidate_school_id"],
     "departments": ["university_id", "department_name"],
@@ -108,7 +108,7 @@ TABLE_KEYS = {
 
 ISSUE_KEY = ["source_id", "table_name", "field_name", "issue_type", "raw_value", "suggestion", "status"]
 
-# Raw collections.
+# Fields of the raw collections.
 _AREA = "struct<research_area:string,exam_subject:string,recruit_number:string,note:string,is_statistic_direction:string>"
 DETAIL_DATA = (
     "struct<depart_id:string,depart_name:string,special_code:string,special_name:string,level1_code:string,"
@@ -136,7 +136,7 @@ RAW = {
     "levels": ["school_id", "code", "code_name", "degree_type", "rate", "rate_sort", "has_doctor"],
 }
 
-# Keys by which repeated raw records are dropped.
+# Keys by which repeated raw records are dropped.
 RAW_KEYS = {
     "schools": ["school_id"],
     "plans": ["school_id", "year", "plan_id"],
