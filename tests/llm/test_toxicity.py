@@ -2,6 +2,7 @@
 
 import os
 import random
+from zlib import crc32
 
 import pytest
 
@@ -105,3 +106,21 @@ def test_quotations_end():
     for text in quoted + plain:
         got = dict(zip(toxicity.FEATURES, scorer.features(text)))
         assert (got["quoted_hits"] > 0) == (text in quoted) and (got["strongest"] > 0) == (text in plain), text
+
+
+def test_few_labels_rank_held_out_rows(spark):
+    """With few labels no word passes for a term; the words that lean to toxic texts still put the toxic ones first."""
+    r, held, fold = random.Random(7), [], lambda i: crc32(str(i).encode()) % 5
+    plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(90):
+        words, toxic = r.sample(plain, 60), int(i % 9 == 0)
+        words += r.sample(["vrag", "zottel", "quark", "mumpitz", "lorke", "pfusch", "murks", "plunder", "schund"], 4) if toxic else []
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+        held += [(i, toxic)] if fold(i) == 0 else []
+    assert {t for _, t in held} == {0, 1}
+    rows = toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    score = {x.doc_id: x.score for x in rows}
+    assert min(score[i] for i, t in held if t) > max(score[i] for i, t in held if not t)
