@@ -294,3 +294,36 @@ def test_match_without_filters(spark):
         {c: F.lit(None).cast("string") for c in ("major_category", "target_major", "province", "school_level", "school_type", "degree_type")})
     got = {(r.rank_group, r.university_id): (r.score_diff, r.subject_level, r.match_score) for r in match.match_schools(who, lines, rates).collect()}
     assert got == {("chong", 1): (-5, "A", 50), ("bao", 2): (25, None, 95)}
+
+
+def test_integration_and_cleaning_of_some_columns(spark):
+    """Fewer columns are carried, rows and numbers are those of all columns; two records of one school give two rows each."""
+    from admitlens import schemas
+    from admitlens.plans import integrate
+
+    text = lambda name, rows, *more: spark.createDataFrame(
+        [tuple(r.get(c) for c in (*schemas.RAW[name], *more)) for r in rows], ", ".join([*[f"{c} string" for c in schemas.RAW[name]], *[f"{c} long" for c in more]])
+    )
+    schools = text("schools", [{"school_id": "1", "school_name": "a"}, {"school_id": "1", "school_name": "b"}, {"school_id": "2", "school_name": "c"}])
+    plan = {"year": "2024", "depart_id": "7", "depart_name": "d", "special_code": "0812", "special_name": "m", "level1_code": "08", "degree_type": "2", "recruit_number": "3"}
+    plans = text("plans", [plan | {"school_id": s, "plan_id": p, "_line": n} for n, (s, p) in enumerate([("1", "p1"), ("2", "p2"), ("2", "p2"), (None, "p3"), ("3", None)])], "_line")
+    area = {"research_area": "x", "exam_subject": "s1<br>s2", "recruit_number": "4", "note": None, "is_statistic_direction": None}
+    details = spark.createDataFrame([("p1", "success", None, {"level2_code": "0812", "research_area_data": {"2024": [area, area | {"research_area": "y"}]}})], schemas.DETAIL_ENTRY.removeprefix("struct<").removesuffix(">"))
+    score = {"year": "2024", "data_type": "school_score", "depart_id": "7", "code": "0812", "degree_type": "2", "total": "300"}
+    scores = text("scores", [score | {"school_id": "1", "_line": 1}, score | {"school_id": "2", "_line": 2}, score | {"school_id": "2", "_line": 3}], "_line")
+    levels = text("levels", [{"school_id": "1", "code": "0812", "rate": "A", "_line": 0}, {"school_id": "2", "code": "08", "rate": "B", "_line": 0}], "_line")
+    raw = (schools, plans, details, scores, levels, "b1")
+    whole = integrate.integrate(*raw)
+    shown = ["school_name", "plan_id", "research_area", "score_total", "level_rate"]
+    some = integrate.integrate(*raw, columns=shown)
+    assert some.columns == [*shown, "_line_no"]
+    assert [r._line_no for r in whole.orderBy("_line_no").collect()] == [2, 3, 4, 5, 6, 7, 8]
+    rows = sorted(map(tuple, some.select(*shown).collect()), key=str)
+    assert rows == sorted(map(tuple, whole.select(*shown).collect()), key=str)
+    assert [r for r in rows if r[1] == "p1"] == [(s, "p1", a, "300", "A") for s in "ab" for a in "xy"] and ("c", "p2", None, None, "B") in rows
+    everything = clean.clean(whole, "b1", "f")
+    for output in [*clean.SOURCES, "quality_issues"]:
+        of = lambda c: c.issues.drop("issue_id") if output == "quality_issues" else c.tables[output]  # noqa: B023, E731
+        columns = clean.columns_read([output])
+        part = clean.clean(whole.select("_line_no", *columns), "b1", "f", keep=lambda df: df, columns=columns)
+        assert len(columns) < 40 and sorted(map(str, of(part).collect())) == sorted(map(str, of(everything).collect())), output
