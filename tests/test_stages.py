@@ -327,3 +327,19 @@ def test_integration_and_cleaning_of_some_columns(spark):
         columns = clean.columns_read([output])
         part = clean.clean(whole.select("_line_no", *columns), "b1", "f", keep=lambda df: df, columns=columns)
         assert len(columns) < 40 and sorted(map(str, of(part).collect())) == sorted(map(str, of(everything).collect())), output
+
+
+def test_result_log_shuffles_its_items_once(spark):
+    from admitlens.plans import recommend
+
+    items = spark.createDataFrame(
+        [(1, "safe", 2, 30, 300), (1, "safe", 1, 40, 290), (1, "rush", 1, -5, 335), (None, "stable", 1, 12, 320)],
+        "applicant_id long, rank_type string, position int, score_diff int, score_line int",
+    )
+    counts = spark.createDataFrame([(1, 9, 4), (2, 0, 0), (None, 3, 1)], "applicant_id long, candidate_record_count long, candidate_count long")
+    log = recommend.result_log(items, counts)
+    got = {r.applicant_id: json.loads(r.result_summary_json) for r in log.collect()}
+    assert [i["position"] for i in got[1]["recommendations"]["safe"]] == [1, 2] and got[1]["summary"] == {"candidate_count": 4, "returned_count": 3, "rush": 1, "stable": 0, "safe": 2}
+    assert list(got[None]["recommendations"]) == ["stable"] and "recommendations" not in got[2] and got[2]["summary"]["returned_count"] == 0
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list(") == 2 and "map_from_entries(collect_list" not in plan  # partial and final step of one group
