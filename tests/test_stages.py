@@ -343,3 +343,28 @@ def test_result_log_shuffles_its_items_once(spark):
     assert list(got[None]["recommendations"]) == ["stable"] and "recommendations" not in got[2] and got[2]["summary"]["returned_count"] == 0
     plan = log._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("collect_list(") == 2 and "map_from_entries(collect_list" not in plan  # partial and final step of one group
+
+
+def test_integration_carries_only_what_the_columns_are_made_of(spark, monkeypatch):
+    """Scores and schools bring only the columns asked for; texts that stripping changes come out as they went in."""
+    from admitlens.plans import integrate
+
+    text = lambda name, rows, *more: spark.createDataFrame(
+        [tuple(r.get(c) for c in (*schemas.RAW[name], *more)) for r in rows], ", ".join([*[f"{c} string" for c in schemas.RAW[name]], *[f"{c} long" for c in more]])
+    )
+    plan = {"plan_id": "p", "special_name": "m", "year": " 2024", "depart_id": "7 ", "special_code": "0812", "degree_type": "2"}
+    plans = text("plans", [plan | {"school_id": s, "_line": n} for n, s in enumerate([" 1", "1", "", None])], "_line")
+    details = spark.createDataFrame([], schemas.DETAIL_ENTRY.removeprefix("struct<").removesuffix(">"))
+    score = {"school_id": "1", "year": "2024", "data_type": "school_score", "depart_id": "7", "code": "0812", "degree_type": "2", "total": "300", "_line": 1}
+    schools = text("schools", [{"school_id": " 1", "school_name": "a", "rk_rank": "5"}, {"school_id": "1", "school_name": "b"}])
+    given = {}
+    number = integrate.consecutive_ids
+    monkeypatch.setattr(integrate, "consecutive_ids", lambda df, *more: given.setdefault("numbered", number(given.setdefault("rows", df), *more)))
+    shown = ["school_id", "school_name", "year", "depart_id", "special_code", "degree_type", "score_total"]
+    out = integrate.integrate(schools, plans, details, text("scores", [score], "_line"), text("levels", [], "_line"), "b1", columns=shown)
+    got = [tuple(r) for r in out.orderBy("_line_no").select(*shown).collect()]
+    same = (" 2024", "7 ", "0812", "2")
+    assert got == [(" 1", "a", *same, "300"), ("1", "b", *same, "300"), (None, None, *same, None), (None, None, *same, None)]
+    steps = given["rows"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [step for step in steps if "collect_list(" in step or "first(" in step]
+    assert len(grouped) == 2 and not any(c in step for step in grouped for c in ("special_remark", "diff_total", "rk_rank"))
