@@ -198,3 +198,33 @@ def test_report_records(spark):
     rows = spark.createDataFrame([("t", 1, "x", None, "text")], "trace_id string, recommendation_log_id int, a string, b string, report_content string")
     r = recommend.report_records(rows, ["a", "b"]).first()
     assert (r.trace_id, r.report_type, r.prompt_json, r.report_content) == ("t", "recommendation", '{"a":"x","b":null}', "text")
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    from admitlens.sources.stage import staged
+
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffle_files()
+    rows = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffle_files() <= before and rows.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_only_rows_that_need_a_code_are_shuffled_for_it(spark):
+    from admitlens.sources.stage import staged
+
+    kept = []
+    plans = spark.createDataFrame([(1, 9, "x", "y"), (2, 9, None, "y"), (3, 9, "", None), (4, None, "x", "y"), (5, 9, "q", "y")], "id int, s int, c2 string, c1 string")
+    levels = spark.createDataFrame([(9, "x", "A", 1), (9, "y", "C", 2), (None, "y", "N", 3)], "s int, code string, rate string, line int")
+    out = joins.first_code_match(plans, levels, ["s"], ["c2", "c1"], "code", "line", lambda df: kept.append(staged(df)) or kept[-1])
+    assert {r.id: r.rate for r in out.collect()} == {1: "A", 2: "C", 3: None, 4: "N", 5: "C"}
+    assert [sorted(r.id for r in df.collect()) for df in kept if "c1" in df.columns][1:] == [[1, 4, 5], [2, 4, 5]]
+
+
+def test_later_rows_without_repeats_move_no_rows(spark):
+    rows = spark.range(50).select((F.col("id") % 49).alias("k"), F.col("id").alias("line"), F.lit("wide").alias("w"))
+    later = keyed.later_rows(rows, ["k"], "line")
+    assert [r.line for r in later.collect()] == [49]
+    assert "Exchange hashpartitioning" not in later._jdf.queryExecution().executedPlan().toString()
