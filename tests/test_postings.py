@@ -63,3 +63,12 @@ def test_bloom(spark):
     kept = bloom.prefiltered(rows, "k", wanted)
     assert kept.count() < 700 and kept.exceptAll(wanted).count() + 501 == kept.count()
     assert bloom.prefiltered(rows, "k", wanted.limit(0)).count() == 0
+
+
+def test_bloom_grows_with_its_values(spark):
+    """As many bits for each of many values as for few: rows that are not wanted are left out all the same."""
+    wanted = spark.range(600000).selectExpr("id AS k")
+    rows = spark.range(590000, 700000).selectExpr("id AS k")
+    kept = bloom.prefiltered(rows, "k", wanted)
+    assert kept.filter("k < 600000").count() == 10000
+    assert kept.filter("k >= 600000").count() < 5000
