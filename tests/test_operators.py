@@ -228,3 +228,15 @@ def test_later_rows_without_repeats_move_no_rows(spark):
     later = keyed.later_rows(rows, ["k"], "line")
     assert [r.line for r in later.collect()] == [49]
     assert "Exchange hashpartitioning" not in later._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_removes_what_only_its_rows_read(spark):
+    """Tables that are spent are gone before the rows are dealt by ranges."""
+    from pathlib import Path
+
+    from admitlens.sources.stage import staged
+
+    source = staged(spark.range(50).withColumnRenamed("id", "n"))
+    numbered = keyed.numbered_in(source, [F.col("n").desc()], "no", spent=[source])
+    assert not Path(source.staged_path).exists()
+    assert {(r.n, r.no) for r in numbered.collect()} == {(49 - i, i + 1) for i in range(50)}
