@@ -368,3 +368,15 @@ def test_integration_carries_only_what_the_columns_are_made_of(spark, monkeypatc
     steps = given["rows"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
     grouped = [step for step in steps if "collect_list(" in step or "first(" in step]
     assert len(grouped) == 2 and not any(c in step for step in grouped for c in ("special_remark", "diff_total", "rk_rank"))
+
+
+def test_load_counts_holds_no_shuffle_of_a_table(spark):
+    """Each table is counted in a staged write of its own; what is read afterwards are these counts."""
+    schools = spark.range(200).selectExpr("CAST(id % 7 AS STRING) AS school_id", "id AS _line_no")
+    once = schools.groupBy("school_id").count()
+    none = spark.createDataFrame([], "id long")
+    counts = load.load_counts({"majors": schools}, {"majors": once}, load.Context(none, none, none, none))
+    collapsed = counts.filter("section = 'collapsed'")
+    assert [tuple(r) for r in collapsed.collect()] == [("collapsed", "majors", 193)]
+    assert "school_id" not in collapsed._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.section, r.name): r.value for r in counts.collect()}[("planned", "majors")] == 7
