@@ -187,3 +187,21 @@ def test_json_and_output_types(spark):
 
 def test_rules_hold_their_values():
     assert (RULES.safe_min, RULES.stable_min, RULES.rush_min) == (25, 10, -10)
+
+
+ODD_TEXTS = [
+    "plain", " lead", "trail ", "two  blanks", "one blank", "tab\tin", "Ａ１", "教育学", "　教育学　", "教育　学", "é", "\u2028x", "x\x85", "a<b", "a>b", "<br>", " <br/> ",
+    "a<br>b", "a <BR /> b", "a\n\n b", "a \x0b\t\r\n b", "a\xa0\u2029\xa0b", "a \t b", "<p> </p>", "a<i>b</i> c", "\x1ca\x1f", "", " ", "\n", None, "\U00020000 x", "x\U00020000",
+]
+
+
+@pytest.mark.parametrize("raw", ODD_TEXTS)
+def test_texts_that_need_no_pattern_give_what_the_pattern_gives(spark, raw):
+    import re
+
+    white = "\\s\x1c-\x1f"
+    plain = None if raw is None else re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\s*/?>", "\n", raw))
+    html = None if raw is None else "\n".join(x for x in map(str.strip, re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", plain)) if x) or None
+    narrow = None if raw is None else re.sub(rf"[{white}]+", " ", raw.translate(str.maketrans(text.FULL_WIDTH, text.HALF_WIDTH))).strip(" ") or None
+    r = spark.createDataFrame([(raw,)], "t string").select(text.strip(F.col("t")).alias("s"), text.clean_text(F.col("t")).alias("c"), text.clean_html(F.col("t")).alias("h")).first()
+    assert (r.s, r.c, r.h) == (None if raw is None else raw.strip(), narrow, html)

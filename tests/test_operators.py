@@ -240,3 +240,13 @@ def test_numbering_removes_what_only_its_rows_read(spark):
     numbered = keyed.numbered_in(source, [F.col("n").desc()], "no", spent=[source])
     assert not Path(source.staged_path).exists()
     assert {(r.n, r.no) for r in numbered.collect()} == {(49 - i, i + 1) for i in range(50)}
+
+
+def test_staged_writes_interpret_no_long_methods(spark):
+    from admitlens.sources.stage import _write_settings
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with _write_settings(spark):
+        assert spark.conf.get(name) == "8000"
+    assert spark.conf.get(name) == before
